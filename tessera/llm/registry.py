@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op07_urls
+from . import op07_urls, op10_media
 
 
 def queries() -> dict:
     return {
         "op7_url_filter": op07_urls.op7_url_filter,
+        "op10_audio_features": op10_media.op10_audio_features,
     }
 
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
         if not batch.num_rows:
             continue
         at, size = 0, 0
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False)
         for i, n in enumerate(sizes):
             n = 0 if n != n else int(n)
             if size and size + n > most_bytes:

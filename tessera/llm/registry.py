@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op07_urls, op10_media
+from . import op01_repair, op07_urls, op10_media
 
 
 def queries() -> dict:
     return {
+        "op1_repair_shards": op01_repair.op1_repair_shards,
         "op7_url_filter": op07_urls.op7_url_filter,
         "op10_audio_features": op10_media.op10_audio_features,
     }

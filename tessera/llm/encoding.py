@@ -9,6 +9,7 @@ holds ``MOST_PIECES``, so its memory is bounded; that changes the speed only.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -93,10 +94,15 @@ def library(path: str):
     return _LIBRARY[path]
 
 
+#: What Unicode calls white space.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = re.compile(f"[{SPACE}]+")
+
+
 def cut_at_spaces(text: str) -> list[str]:
-    """Pieces between white space; str.split() also cuts at U+001C to U+001F, which Unicode doesn't call white space."""
+    """Pieces between white space; str.split() would also cut at U+001C to U+001F."""
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [text]
+        return [x for x in _SPACES.split(text) if x]
     return text.split()
 
 

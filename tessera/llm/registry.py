@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op07_urls, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op07_urls, op10_media
 
 
 def queries() -> dict:
     return {
         "op1_repair_shards": op01_repair.op1_repair_shards,
+        "op2_prefix_counts": op02_prefix_counts.op2_prefix_counts,
+        "op3_curve_packing": op03_curve_packing.op3_curve_packing,
         "op7_url_filter": op07_urls.op7_url_filter,
         "op10_audio_features": op10_media.op10_audio_features,
     }

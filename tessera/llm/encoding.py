@@ -3,7 +3,7 @@
 A tokenizer whose pieces never cross a cut gives the same ids for a text as for its cuts one after
 the other. ``PieceMemo`` keeps the ids of the pieces that a worker has met, has the library encode
 the new ones in a batch, and puts texts together with array operations. It starts afresh when it
-holds ``MOST_PIECES``, so its memory is bounded; that changes the speed only.
+holds ``MOST_PIECES`` or ``MOST_CHARACTERS``, so its memory is bounded; that changes the speed only.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 
 MOST_PIECES = 1_000_000
-LONGEST_KEPT = 64  # characters of a piece that is remembered
+MOST_CHARACTERS = 32_000_000
 
 
 class _Codes(dict):
@@ -37,7 +37,7 @@ class PieceMemo:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Codes()
+        self.codes, self.characters = _Codes(), 0
         self.table, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.lengths = np.empty(1 << 15, np.int32), np.empty(1 << 15, np.int32)
 
@@ -45,6 +45,7 @@ class PieceMemo:
         """Ids of the waiting pieces go to the table."""
         pieces, self.codes.waiting = self.codes.waiting, []
         first = len(self.codes) - len(pieces)
+        self.characters += sum(map(len, pieces))
         for at in range(0, len(pieces), 20_000):
             found = self.encode(pieces[at : at + 20_000])
             sizes = np.fromiter(map(len, found), np.int32, len(found))
@@ -60,7 +61,7 @@ class PieceMemo:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        if len(self.codes) > MOST_PIECES:
+        if len(self.codes) > MOST_PIECES or self.characters > MOST_CHARACTERS:
             self._clear()
         pieces: list[str] = []
         counts = np.empty(len(texts), np.int64)

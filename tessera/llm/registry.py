@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op02_prefix_counts, op03_curve_packing, op07_urls, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, op07_urls, op10_media
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_repair_shards": op01_repair.op1_repair_shards,
         "op2_prefix_counts": op02_prefix_counts.op2_prefix_counts,
         "op3_curve_packing": op03_curve_packing.op3_curve_packing,
+        "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
         "op7_url_filter": op07_urls.op7_url_filter,
         "op10_audio_features": op10_media.op10_audio_features,
     }
@@ -17,5 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
         "op7_url_filter": op07_urls.ORACLE,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, op07_urls, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, op07_urls, op09_near_dups, op10_media
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_curve_packing": op03_curve_packing.op3_curve_packing,
         "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
         "op7_url_filter": op07_urls.op7_url_filter,
+        "op9_near_duplicates": op09_near_dups.op9_near_duplicates,
         "op10_audio_features": op10_media.op10_audio_features,
     }
 

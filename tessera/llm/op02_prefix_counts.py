@@ -3,7 +3,8 @@
 White space separates words, and a word's tokens depend on no other word. For each distinct word a
 table holds, at every prefix, the token that ends there and the number of tokens so far: of the
 vocabulary's strings that end at a position, the right one is the one that byte pair encoding keeps
-apart from the token before it, and there is exactly one. A prefix that stops inside a word ends in
+apart from the token before it, and there is exactly one. New words are worked in sorted order, so a word takes
+over the table of the one before it as far as they begin alike. A prefix that stops inside a word ends in
 a word-end token, so its count is that of a shorter inner prefix plus one. A text's counts are those
 of its words, kept as one signed byte of change for each character (``deltas``); their running sum
 answers how many tokens text[:i] has, where to cut for a budget, and what a range costs, without
@@ -20,8 +21,10 @@ an empty table gives an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from .encoding import SPACE, cut_at_spaces, default_path, library
 from .shared import arrow_of, id_and_text, read, slices
 
 SLICE_BYTES = 4 << 20
-MOST_WORDS = 400_000
-MOST_PIECES = 250_000
+MOST_WORDS = 800_000
+MOST_PIECES = 400_000
 MOST_PAIRS = 500_000
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _CONTRACTIONS = {"'re", "'ve", "'ll", "'s", "'t", "'m", "'d"}
@@ -60,9 +63,13 @@ class PrefixCounter:
         #: rank and halves of the merge that makes a token; single characters have none
         self.made_by = {a + b: (i, a, b) for i, (a, b) in reversed(list(enumerate(pairs)))}
         # inner tokens, and word-end tokens under their text without the mark
-        self.inner = {x for x in model["vocab"] if not x.endswith(_END)}
-        self.final = {x.removesuffix(_END): x for x in model["vocab"] if x.endswith(_END)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        inner = {x for x in model["vocab"] if not x.endswith(_END)}
+        final = {x.removesuffix(_END): x for x in model["vocab"] if x.endswith(_END)}
+        self.tokens = {x: (x if x in inner else None, final.get(x)) for x in inner | final.keys()}
+        #: length of the longest token that ends in two given characters
+        self.longest: dict[str, int] = {}
+        for x in self.tokens:
+            self.longest[x[-2:]] = max(len(x), self.longest.get(x[-2:], 1))
         self.letters = byte_letters()
         specials = [x["content"] for x in said["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, specials)))
@@ -107,35 +114,56 @@ class PrefixCounter:
 
     def _count(self, piece: str) -> list[int]:
         known = self.pieces.get(piece)
-        if known is not None:
-            return known
-        raw = piece.encode()
-        s = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in raw])
-        inner, final, apart, longest = self.inner, self.final, self._apart, self.longest
-        last, count, out = [""], [0], []
-        n = len(s)
-        for k in range(1, n + 1):
-            low = k - longest if k > longest else 0
-            closed = k == n or raw[k] & 0xC0 != 0x80  # the end of a character
-            opened = k < n
-            for i in range(low, k):  # the longest candidate first
-                part = s[i:k]
-                if opened and part in inner and (not i or apart(last[i], part)):
-                    last.append(part)
-                    count.append(count[i] + 1)
-                    opened = False
-                    if not closed:
+        if known is None:
+            known = self._work([piece])[0]
+        return known
+
+    def learn(self, words: list[str]) -> None:
+        """Work out the pieces of new words, in sorted order."""
+        new = {x for w in words for x in _PIECE.findall(w.lower()) if len(x) <= 24} - self.pieces.keys()
+        pieces = sorted(new)
+        if len(self.pieces) + len(pieces) > MOST_PIECES:
+            self.pieces.clear()
+        self.pieces.update(zip(pieces, self._work(pieces), strict=True))
+
+    def _work(self, pieces: list[str]) -> list[list[int]]:
+        tokens, apart, longest = self.tokens, self.apart, self.longest
+        found = []
+        # at each position: the token that ends there inside a word, tokens so far, tokens if the word ended there
+        last, count, ended, before = [""], [0], [0], ""
+        for piece in pieces:
+            raw = piece.encode()
+            s = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in raw])
+            n, k = len(s), 0
+            most = min(n, len(before))
+            while k < most and s[k] == before[k]:
+                k += 1
+            before, k = s, max(k, 1)
+            del last[k:], count[k:], ended[k:]
+            for k in range(k, n + 1):
+                opened, closed = k < n, k == n or raw[k] & 0xC0 != 0x80
+                ended.append(0)
+                for i in range(max(0, k - longest.get(s[max(0, k - 2) : k], 1)), k):  # the longest candidate first
+                    token = tokens.get(s[i:k])
+                    if token is None:
+                        continue
+                    inner, final = token
+                    left = last[i]
+                    if opened and inner is not None:
+                        ok = not i or apart.get((left, inner))
+                        if self._apart(left, inner) if ok is None else ok:
+                            last.append(inner)
+                            count.append(count[i] + 1)
+                            opened = False
+                    if closed and final is not None:
+                        ok = not i or apart.get((left, final))
+                        if self._apart(left, final) if ok is None else ok:
+                            ended[k] = count[i] + 1
+                            closed = False
+                    if not (opened or closed):
                         break
-                if closed and part in final and (not i or apart(last[i], final[part])):
-                    out.append(count[i] + 1)
-                    closed = False
-                    if not opened:
-                        break
-        if len(piece) <= 24:
-            if len(self.pieces) > MOST_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = out
-        return out
+            found.append([x for x in ended if x] if len(s) > len(piece) else ended[1:])
+        return found
 
     def _plain_counts(self, word: str) -> list[int]:
         """Counts of word[:k], k = 0 ..., for a word without special strings."""
@@ -164,28 +192,28 @@ class PrefixCounter:
 
     def word_deltas(self, word: str) -> bytes:
         """Change of the count at each character; a byte holds it, for the count changes by a few tokens at most."""
+        counts = self.word_counts(word)
+        try:
+            return struct.pack(f"{len(word)}b", *map(sub, counts[1:], counts))
+        except struct.error as e:
+            raise OverflowError("a count changed by more than a signed byte") from e
+
+    def deltas(self, texts: list[str]) -> list[np.ndarray]:
+        """Change of the token count at each character of each text."""
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        counts = np.array(self.word_counts(word), np.int64)
-        deltas = np.diff(counts)
-        if len(deltas) and (deltas.min() < -128 or deltas.max() > 127):
-            raise OverflowError("a count changed by more than a signed byte")
-        out = deltas.astype(np.int8).tobytes()
-        if len(word) <= 64:
-            self.words[word] = out
-        return out
-
-    def deltas(self, text: str) -> np.ndarray:
-        """Change of the token count at each character of ``text``."""
-        words, known = cut_at_spaces(text), self.words
-        parts = [known.get(w) for w in words]
-        joined = b"".join([self.word_deltas(w) if p is None else p for w, p in zip(words, parts, strict=True)])
-        found = np.frombuffer(joined, np.int8)
-        if len(words) == 1 and len(words[0]) == len(text):
-            return found
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        out = np.zeros(len(points), np.int8)
-        out[~_SPACE[np.minimum(points, len(_SPACE) - 1)]] = found
+        cuts, known = [cut_at_spaces(t) for t in texts], self.words
+        new = {w for words in cuts for w in words if w not in known}
+        self.learn([w for w in new if len(w) <= 64])
+        fresh = {w: self.word_deltas(w) for w in new}
+        known.update((w, d) for w, d in fresh.items() if len(w) <= 64)
+        out = []
+        for text, words in zip(texts, cuts, strict=True):
+            joined = b"".join([known[w] if w in known else fresh[w] for w in words])
+            whole = np.zeros(len(text), np.int8)
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            whole[~_SPACE[np.minimum(points, len(_SPACE) - 1)]] = np.frombuffer(joined, np.int8)
+            out.append(whole)
         return out
 
 
@@ -218,7 +246,7 @@ def prefix_counts(docs: DataFrame, path: str, keep_deltas: bool = True) -> DataF
         prefix, schema = counter(path), arrow_of(ddl)
         for b in slices(batches, "text", SLICE_BYTES):
             texts = b.column("text").to_pylist()
-            found = [prefix.deltas(t) for t in texts]
+            found = prefix.deltas(texts)
             columns = [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(d.sum(dtype=np.int64)) for d in found], pa.int64())]
             yield pa.record_batch(columns + [pa.array([d.tobytes() for d in found], pa.binary())] * keep_deltas, schema=schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, op07_urls, op09_near_dups, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op04_rules, op05_byte_bpe, op07_urls, op08_language, op09_near_dups, op10_media
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_repair_shards": op01_repair.op1_repair_shards,
         "op2_prefix_counts": op02_prefix_counts.op2_prefix_counts,
         "op3_curve_packing": op03_curve_packing.op3_curve_packing,
+        "op4_rule_ensemble": op04_rules.op4_rule_ensemble,
         "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
         "op7_url_filter": op07_urls.op7_url_filter,
+        "op8_language_id": op08_language.op8_language_id,
         "op9_near_duplicates": op09_near_dups.op9_near_duplicates,
         "op10_audio_features": op10_media.op10_audio_features,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op02_prefix_counts, op03_curve_packing, op04_rules, op05_byte_bpe, op07_urls, op08_language, op09_near_dups, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op04_rules, op05_byte_bpe, op06_dual_tree, op07_urls, op08_language, op09_near_dups, op10_media
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_curve_packing": op03_curve_packing.op3_curve_packing,
         "op4_rule_ensemble": op04_rules.op4_rule_ensemble,
         "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
+        "op6_dual_tree_top_k": op06_dual_tree.op6_dual_tree_top_k,
         "op7_url_filter": op07_urls.op7_url_filter,
         "op8_language_id": op08_language.op8_language_id,
         "op9_near_duplicates": op09_near_dups.op9_near_duplicates,
@@ -22,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
+        "op6_dual_tree_top_k": op06_dual_tree.ORACLE,
         "op7_url_filter": op07_urls.ORACLE,
     }

@@ -26,15 +26,18 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .op09_near_dups import word_hashes
-from .shared import arrow_of, held_out_fold, id_and_text, read, slices, stored
+from .shared import held_out_fold, id_and_text, read, slices, stored
 
 STATISTICS = [
     "chars", "words", "lines", "word_length", "line_length", "upper_share", "digit_share", "mark_share",
     "symbol_share", "space_share", "exclaims_a_word", "pipes_a_word", "stops_a_word", "distinct_share",
     "repeat_share", "line_repeat_share", "top_symbol_words",
 ]
+PREFIX = "_stat_"  # keeps the columns apart from those of the input
+COLUMNS = [PREFIX + s for s in STATISTICS]
 TREES, DEPTH = 24, 4
 PENALTY = 2e-4
 SEED = 11
@@ -100,17 +103,16 @@ def _line_hashes(data: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix * np.uint64(0xBF58476D1CE4E5B9), starts)
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and one double column for each statistic."""
-    ddl = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and one double column, PREFIX and its name, for each statistic."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_of(ddl)
         for b in slices(batches, "text", SLICE_BYTES):
-            table = statistics(b.column("text").to_pylist())
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c) for c in table.T)], schema=schema)
+            table = statistics(b.column("text").fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in table.T)], names=[*b.schema.names, *COLUMNS])
 
-    return id_and_text(docs).mapInArrow(run, ddl)
+    return docs.mapInArrow(run, schema)
 
 
 def tree_paths(printed: str) -> list[tuple[tuple[int, str, float], ...]]:
@@ -138,19 +140,19 @@ def tightest(conditions: tuple[tuple[int, str, float], ...]) -> tuple[tuple[int,
 def rule_column(rule: tuple[tuple[int, str, float], ...]) -> Column:
     out = F.lit(True)
     for i, op, at in rule:
-        c = F.col(STATISTICS[i])
+        c = F.col(COLUMNS[i])
         out = out & (c <= at if op == "<=" else c > at)
     return out
 
 
 def fit_rules(training: DataFrame, label: str) -> tuple[float, list[tuple[float, tuple]]]:
-    """Intercept and weighted rules from a frame with STATISTICS and a 0/1 label."""
+    """Intercept and weighted rules from a frame with COLUMNS and a 0/1 label."""
     said = training.agg(F.count(label).alias("n"), F.sum(label).alias("ones")).first()
     n, ones = said["n"], said["ones"] or 0
     if not n or ones in (0, n):
         share = min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share))), []
-    assembled = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(training.withColumn("label", F.col(label).cast("double")))
+    assembled = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(training.withColumn("label", F.col(label).cast("double")))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.7, seed=SEED).fit(assembled)
     rules = tree_paths(forest.toDebugString)
     if not rules:
@@ -173,15 +175,24 @@ def score_column(intercept: float, rules: list[tuple[float, tuple]]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", learned: Column | None = None) -> DataFrame:
-    """doc_id and score. Labels of rows where ``learned`` (on doc_id) is false are not looked at."""
-    told = labels.where(F.col(label).isin(0, 1) & (F.lit(True) if learned is None else learned)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias(label))
-    found = stored(text_statistics(docs), "statistics")
-    training = stored(found.dropDuplicates(["doc_id"]).join(told, "doc_id"), "training")
-    intercept, rules = fit_rules(training, label)
-    return found.select("doc_id", score_column(intercept, rules).alias("score"))
+def learned_score(found: DataFrame, labels: DataFrame, label: str = "quality", learned: Column | None = None) -> Column:
+    """The score as a column over COLUMNS, from ``found`` (doc_id and COLUMNS) and ``labels``.
+
+    Labels of rows where ``learned`` (a condition on doc_id) is false are not looked at."""
+    told = labels.where(F.col(label).isin(0, 1) & (F.lit(True) if learned is None else learned)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("_label"))
+    training = stored(found.select("doc_id", *COLUMNS).dropDuplicates(["doc_id"]).join(told, "doc_id"), "training")
+    return score_column(*fit_rules(training, "_label"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, learned: Column | None = None, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, with their columns, that score ``least`` or more. The second pass over the texts is without a shuffle."""
+    score = learned_score(stored(with_statistics(id_and_text(docs)).drop("text"), "statistics"), labels, learned=learned)
+    return with_statistics(docs).where(score >= least).select(*docs.columns)
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learned=~held_out_fold(F.col("doc_id")))
-    return scored.select("doc_id", held_out_fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    fold = held_out_fold(F.col("doc_id"))
+    found = stored(with_statistics(id_and_text(read(spark, sf_dir, "documents"))).drop("text"), "statistics")
+    score = learned_score(found, read(spark, sf_dir, "labels"), learned=~fold)
+    scored = found.select("doc_id", fold.alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -193,10 +193,15 @@ def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     return [(int(words.places[a]), int(ends[z - 1]), model.languages[path[a]]) for a, z in zip(cut, [*cut[1:], len(path)], strict=True)] if model.languages else []
 
 
+def slice_bytes(model: Model) -> int:
+    """Bytes of text worked at once; a word has a score for each language."""
+    return max(1 << 16, SLICE_BYTES * 4 // max(4, len(model.languages)))
+
+
 def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and, with_spans, span_start, span_end and span_lang."""
     ddl = "doc_id long, lang_pred string, score double" + ", span_start array<int>, span_end array<int>, span_lang array<string>" * with_spans
-    least = max(1 << 16, SLICE_BYTES * 4 // max(4, len(model.languages)))
+    least = slice_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_of(ddl)
@@ -212,6 +217,18 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     return id_and_text(docs).mapInArrow(run, ddl)
 
 
+def in_one_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of ``docs``, with their columns, whose language has at least ``least`` of the letters; ``und`` goes."""
+    size = slice_bytes(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", size):
+            found, share, *_ = predict(b.column("text").fill_null("").to_pylist(), model)
+            yield b.filter(pa.array([lang != "und" and bool(s >= least) for lang, s in zip(found, share, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_fold(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out_fold(F.col("doc_id")))
 

@@ -273,5 +273,19 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return out.select("doc_id", "text_hash", F.nullif("its.id", F.lit(NO_ID)).alias("class_id"), (F.col("row") == F.col("its.row")).alias("keep"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each near-duplicate class of ``docs``, with its columns.
+
+    A row is known by its id and the hash of its text; rows equal in both are one document, and
+    only where there are such rows is one of them chosen in a further step."""
+    kept = near_duplicate_rows(docs, threshold).where("keep").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
+    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("_hash") == F.col("_kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
+    found = marked.join(kept, same, "left_semi")
+    if docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["doc_id", "_hash"])
+    return found.select(*docs.columns)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")

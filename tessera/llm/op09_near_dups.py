@@ -9,11 +9,13 @@ register with the probability Jaccard similarity of their weights. ``BANDS`` ban
 make buckets; what meets in a bucket is verified on the shingles themselves, at ``THRESHOLD``.
 
 Texts of equal words are one class at once and go on as one representative. In a bucket no list of
-all pairs is made: one member (a pivot) is held against the others, and what passes becomes links.
-Components of the links then leave open only buckets whose members lie in several components; there
-further pivots, from the smallest components, are held against members of the other components,
-four times as many in each round, until every member of an open bucket has met all members outside
-its component. So every pair that shares a bucket is either in one class or has been verified.
+all pairs is made: the smallest member is held against the others first, and what passes becomes
+links. Components of the links then leave open only buckets whose members lie in several
+components. Of open buckets with the same members one is kept; each is cut into blocks of about
+``BLOCK`` members, and blocks are compared by matrix products over their shingles, within
+themselves and with the bucket's other blocks. A comparison gives at most one link for each member,
+as only links that join two components are given. So every pair that shares a bucket is either
+in one class or has been compared.
 
 Result: one row per document with class_id (the smallest doc_id of its class) and keep (true for
 one row of each class). Null texts count as empty; texts without words are copies if they are
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow_of, id_and_text, read, slices, stored
@@ -39,7 +41,8 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 SLICE_BYTES = 2 << 20
-PIVOT_GROWTH = 4
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+COLUMNS = 4096  # of a matrix product
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -221,42 +224,133 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def block_links(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], threshold: float, cut: int = 0) -> list[tuple[int, int]]:
+    """Links between members of different components that reach the threshold, as few as join them.
+
+    With cut, only members before it are held against those from it on. The sum over shingles of
+    sqrt(p q), p and q the weights' shares, is never below the similarity and is a matrix product;
+    where all weights are 1 it tells the similarity itself, other pairs are then worked out."""
+    n = len(reps)
+    _, comp = np.unique(comps, return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    if comp.max() == 0 or not sizes.all():
+        return []
+    elements, weights, doc = weighted(np.concatenate(sets), sizes)
+    totals, plain = np.bincount(doc, weights, n), np.bincount(doc, minlength=n) == sizes
+    column = np.unique(elements, return_inverse=True)[1]
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, doc, share = (np.cumsum(shared) - 1)[column[keep]], doc[keep], np.sqrt(weights[keep] / totals[doc[keep]])
+    order = np.argsort(column, kind="stable")
+    column, doc, share = column[order], doc[order], share[order]
+    overlap = np.zeros((n, n), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[doc[a:z], column[a:z] - low] = share[a:z]
+        overlap += part @ part.T
+    open_pairs = np.triu(comp[:, None] != comp[None, :], 1) & (overlap >= threshold - 1e-3)
+    if cut:
+        open_pairs[:cut, :cut] = open_pairs[cut:, cut:] = False
+    i, j = np.nonzero(open_pairs)
+    common = np.rint(overlap[i, j] * np.sqrt(sizes[i].astype(float) * sizes[j]))
+    exact = plain[i] & plain[j]
+    passes = common / (sizes[i] + sizes[j] - common) >= threshold
+    parent = list(range(int(comp.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for known in (True, False):  # what is known first, which spares working out others
+        for a, z, good in zip(*(x[exact == known].tolist() for x in (i, j, passes)), strict=True):
+            if known and not good:
+                continue
+            ra, rz = root(int(comp[a])), root(int(comp[z]))
+            if ra != rz and (known or probability_jaccard(sets[a], sets[z]) >= threshold):
+                parent[ra] = rz
+                out.append((int(reps[a]), int(reps[z])))
+    return out
+
+
+def _unpacked(lists: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in lists]
+
+
+def links_in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) within each (band, block) of rows band, block, rep, comp, shingles; a block is small."""
+    ddl = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, held = arrow_of(ddl), None, []
+
+        def links() -> list[tuple[int, int]]:
+            return block_links(np.array([x[0] for x in held]), np.array([x[1] for x in held]), _unpacked([x[2] for x in held]), threshold) if len(held) > 1 else []
+
+        for b in batches:
+            found = []
+            for band, block, *member in zip(*(b.column(c).to_pylist() for c in ("band", "block", "rep", "comp", "shingles")), strict=True):
+                if (band, block) != now:
+                    found += links()
+                    now, held = (band, block), []
+                held.append(member)
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+        found = links()
+        yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return rows.repartition("band", "block").sortWithinPartitions("band", "block").select("band", "block", "rep", "comp", "shingles").mapInArrow(run, ddl)
+
+
+def links_between_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links between different blocks of a band: a block is packed into one row and meets the later ones."""
+    packed_ddl = "band long, block long, reps array<long>, comps array<long>, sizes array<long>, shingles binary"
+
+    def pack(table: pa.Table) -> pa.Table:
+        sets = table.column("shingles").to_pylist()
+        row = [table.column("band")[0].as_py(), table.column("block")[0].as_py(), table.column("rep").to_pylist(), table.column("comp").to_pylist(), [len(x) // 4 for x in sets], b"".join(sets)]
+        return pa.table([pa.array([x], t) for x, t in zip(row, arrow_of(packed_ddl).types, strict=True)], schema=arrow_of(packed_ddl))
+
+    packed = stored(rows.groupBy("band", "block").applyInArrow(pack, packed_ddl), "blocks")
+    ddl = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i in range(b.num_rows):
+                left, right = ([b.column(f"{side}_{c}")[i].as_py() for c in ("reps", "comps", "sizes", "shingles")] for side in "xy")
+                sets = [part for side in (left, right) for part in np.split(np.frombuffer(side[3], "<u4"), np.cumsum(side[2])[:-1])]
+                found += block_links(np.array(left[0] + right[0]), np.array(left[1] + right[1]), sets, threshold, len(left[0]))
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=arrow_of(ddl))
+
+    x, y = (packed.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "reps", "comps", "sizes", "shingles"))) for side in "xy")
+    return x.join(y, "band").where("x_block < y_block").repartition("band", "x_block", "y_block").drop("band", "x_block", "y_block").mapInArrow(run, ddl)
+
+
 def linked_components(reps: DataFrame, threshold: float) -> DataFrame:
-    """rep, comp for the representatives that have links."""
-    spark = reps.sparkSession
+    """node, comp for the representatives that have links."""
     exploded = reps.where("bands is not null").select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = stored(exploded.join(shared, "band").select("band", "rep", "pivot"), "members")
     sets = stored(reps.select("rep", "shingles").join(members.select("rep").distinct(), "rep", "left_semi"), "sets")
     pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(verified(pairs, sets, threshold), "links")
-    met = members.select("band", F.col("pivot").alias("rep")).distinct()
-    members, most = members.select("band", "rep"), 1
-    while True:
-        comps = components(links)
-        labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        # open buckets: those with members of several components, but for pivots that have met all
-        waiting = labelled.join(met, ["band", "rep"], "left_anti")
-        open_bands = waiting.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-        open_members = stored(waiting.join(open_bands, "band", "left_semi"), "open")
-        if not open_members.limit(1).count():
-            return comps
-        sizes = open_members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        next_pivots = _pivots(open_members, sizes, most)
-        met = stored(met.unionByName(next_pivots.select("band", F.col("pivot").alias("rep"))), "met")
-        against = open_members.join(next_pivots.withColumnRenamed("comp", "its"), "band").where("comp != its")
-        pairs = against.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        links = stored(links.unionByName(verified(pairs, sets, threshold)), "links")
-        most *= PIVOT_GROWTH
-
-
-def _pivots(open_members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """band, pivot, comp: up to ``most`` members of each bucket, of its smallest components first.
-
-    Spark keeps only the first ``most`` rows of a bucket before and after the shuffle."""
-    order = Window.partitionBy("band").orderBy("n", "comp", "rep")
-    ranked = open_members.join(sizes, ["band", "comp"]).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= most).select("band", F.col("rep").alias("pivot"), "comp")
+    comps = components(links)
+    labelled = stored(members.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(sets.select("rep", F.octet_length("shingles").alias("bytes")), "rep"), "labelled")
+    # open buckets, one of those with the same members, and the blocks each is cut into
+    hashes = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    buckets = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("bytes").alias("bytes"), *hashes)
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(float(BLOCK))), F.ceil(F.col("bytes") / F.lit(float(BLOCK_BYTES))))
+    chosen = buckets.where("low != high").groupBy("n", "h1", "h2").agg(F.min("band").alias("band"), F.max(parts).alias("blocks"))
+    opened = labelled.join(chosen.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    opened = stored(opened.select("band", "rep", "comp", "blocks", "block"), "opened")
+    if not opened.limit(1).count():
+        return comps
+    rows = opened.join(sets, "rep")
+    more = links_in_blocks(rows, threshold).unionByName(links_between_blocks(rows.where("blocks > 1"), threshold))
+    more = stored(more.distinct(), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else comps
 
 
 def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_byte_bpe": op05_byte_bpe.op5_byte_bpe,
         "op6_dual_tree_top_k": op06_dual_tree.ORACLE,
         "op7_url_filter": op07_urls.ORACLE,
     }

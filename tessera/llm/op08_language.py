@@ -188,9 +188,11 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, Word
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, language) of the runs of words of one language, in characters."""
     _, _, words, path = predict([text], model)
-    cut = np.flatnonzero(np.diff(path.astype(int), prepend=-1)) if len(path) else []
+    if not len(path) or not model.languages:
+        return []
+    cut = np.flatnonzero(np.diff(path.astype(int), prepend=-1))
     ends = words.places + words.letters
-    return [(int(words.places[a]), int(ends[z - 1]), model.languages[path[a]]) for a, z in zip(cut, [*cut[1:], len(path)], strict=True)] if model.languages else []
+    return [(int(words.places[a]), int(ends[z - 1]), model.languages[path[a]]) for a, z in zip(cut, [*cut[1:], len(path)], strict=True)]
 
 
 def slice_bytes(model: Model) -> int:

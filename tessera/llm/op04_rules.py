@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .op09_near_dups import word_hashes
-from .shared import held_out_fold, id_and_text, read, slices, stored
+from .shared import arrow_of, held_out_fold, id_and_text, read, slices, stored
 
 STATISTICS = [
     "chars", "words", "lines", "word_length", "line_length", "upper_share", "digit_share", "mark_share",
@@ -42,6 +42,7 @@ TREES, DEPTH = 24, 4
 PENALTY = 2e-4
 SEED = 11
 SLICE_BYTES = 2 << 20
+FIRED_ROWS = 1000
 
 _KIND = np.zeros((256, 8), bool)  # letters, upper, digits, marks, symbols, spaces, "!", "|"
 for _i in range(256):
@@ -145,6 +146,25 @@ def rule_column(rule: tuple[tuple[int, str, float], ...]) -> Column:
     return out
 
 
+def fired(training: DataFrame, label: str, rules: list[tuple]) -> DataFrame:
+    """The label as a double and, for each rule, 1 where it holds, else 0. ``FIRED_ROWS`` rows are worked at once."""
+    ddl = "label double, fired array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_of(ddl)
+        for b in batches:
+            for at in range(0, b.num_rows, FIRED_ROWS):
+                part = b.slice(at, FIRED_ROWS)
+                table = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in COLUMNS], axis=1)
+                holds = np.ones((len(table), len(rules)))
+                for k, rule in enumerate(rules):
+                    for i, op, bound in rule:
+                        holds[:, k] *= table[:, i] <= bound if op == "<=" else table[:, i] > bound
+                yield pa.record_batch([part.column("label"), pa.array(list(holds), schema.types[1])], schema=schema)
+
+    return training.select(F.col(label).cast("double").alias("label"), *COLUMNS).mapInArrow(run, ddl)
+
+
 def fit_rules(training: DataFrame, label: str) -> tuple[float, list[tuple[float, tuple]]]:
     """Intercept and weighted rules from a frame with COLUMNS and a 0/1 label."""
     said = training.agg(F.count(label).alias("n"), F.sum(label).alias("ones")).first()
@@ -158,11 +178,10 @@ def fit_rules(training: DataFrame, label: str) -> tuple[float, list[tuple[float,
     if not rules:
         share = ones / n
         return float(np.log(share / (1 - share))), []
-    fired = F.array(*[rule_column(r).cast("double") for r in rules])
     from pyspark.ml.functions import array_to_vector
 
     lasso = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=60, tol=1e-5)
-    model = lasso.fit(training.select(F.col(label).cast("double").alias("label"), array_to_vector(fired).alias("features")))
+    model = lasso.fit(fired(training, label, rules).select("label", array_to_vector("fired").alias("features")))
     weights = model.coefficients.toArray()
     return float(model.intercept), [(float(w), r) for w, r in zip(weights, rules, strict=True) if w]
 

@@ -120,7 +120,8 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, length: int = LENGT
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids."""
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     table = encoded(docs, path, end)
-    placed = table.drop("key").join(line_starts(table.select("row", "key", "n_tokens")), "row")
+    # a sort-merge join at every size: the starts are as many as the documents
+    placed = table.drop("key").join(line_starts(table.select("row", "key", "n_tokens")).hint("merge"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_of(ddl)

@@ -77,6 +77,12 @@ def within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.range_search(_asked(vectors), vectors, 0.3)
 
 
+def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate form of ``nearest``."""
+    vectors = load(spark, sf_dir, "embeddings")
+    return vector.ann(_asked(vectors), vectors, 5, width=64)
+
+
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vector.centroid(load(spark, sf_dir, "embeddings"))
     return made.select("label", F.posexplode("centroid").alias("pos", "mean")).select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
@@ -123,6 +129,7 @@ QUERIES = {
     "l4_filtered_bm25": (filtered, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents WHERE lang = 'fr'), {BM25} SELECT * FROM ranked WHERE rank <= 3"),
     "v2_knn": (nearest, f"WITH {KNN}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM sims) SELECT * FROM r WHERE rank <= 5"),
     "v3_range_search": (within, f"WITH {KNN} SELECT * FROM sims WHERE score >= 0.3"),
+    "v4_ann": (approximate, None),
     "v5_centroids": (centroids, "SELECT label, pos - 1 AS pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos"),
     "q1_qa_pairs": (pairs, "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"),
     "q2_history": (turn_history, "SELECT conv_id, turn, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), chr(10)) AS context FROM conversations"),

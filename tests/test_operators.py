@@ -34,6 +34,19 @@ def test_vectors(spark):
     assert rows[1]["d"] == 0.0 and rows[1]["c"] is None and rows[2]["d"] is None
 
 
+def test_approximate_neighbours(spark, sf):
+    vectors = load(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0")
+    exact, found = (set(pairs(df, "query_id", "vec_id", "score")) for df in (vector.knn(asked, vectors, 5), vector.ann(asked, vectors, 5, width=64)))
+    assert len(exact & found) >= 0.9 * len(exact) == 0.9 * len(found)
+
+
+def test_approximate_neighbours_leave_out_broken_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0])], "vec_id long, embedding array<double>")
+    assert pairs(vector.ann(df, df, 3, width=2), "query_id", "vec_id", "rank") == [(0, 1, 1), (1, 0, 1)]
+    assert vector.ann(df.limit(0), df, 3, width=2).count() == 0
+
+
 def test_chunks_cover_and_skip_nothing(spark):
     df = spark.createDataFrame([(1, "x" * 901), (2, ""), (3, None), (4, "y" * 500)], "doc_id long, text string")
     got = pairs(text.chunk(df).select("doc_id", "chunk_no", F.length("text").alias("n")), "doc_id", "chunk_no", "n")

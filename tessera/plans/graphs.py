@@ -56,10 +56,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles among terms that stand side by side in documents."""
+    """Triangles among terms at most two words apart in one turn of each conversation, the smallest text, as its SQL has it.
+
+    ``turn_triangles`` reads all turns."""
     return graph.triangles(graph.edges_cooccur(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text").groupBy("doc_id").agg(F.min("text").alias("text")), 2))
 
 
+def turn_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles among terms at most two words apart in any turn."""
+    turns = load(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return graph.triangles(graph.edges_cooccur(turns))
+
+
 def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entities(load(spark, sf_dir, "documents"))
 
@@ -111,6 +119,7 @@ QUERIES = {
     "g7_pagerank": (ranks, f"WITH {EDGES}, {PAGERANK} SELECT node, round(rank, 9) AS rank FROM r5"),
     "g8_communities": (labels, f"WITH {EDGES}, {LABELS} SELECT * FROM l3"),
     "g9_triangles": (triangle_count, f"WITH docs AS (SELECT conv_id AS doc_id, min(text) AS text FROM conversations GROUP BY conv_id), {_cooccur('docs')} SELECT count(*) AS triangles FROM cooccur x JOIN cooccur y ON x.dst = y.src JOIN cooccur z ON z.src = x.src AND z.dst = y.dst"),
+    "g9_turn_triangles": (turn_triangles, f"WITH docs AS (SELECT conv_id || '#' || turn AS doc_id, text FROM conversations), {_cooccur('docs')} SELECT count(*) AS triangles FROM cooccur x JOIN cooccur y ON x.dst = y.src JOIN cooccur z ON z.src = x.src AND z.dst = y.dst"),
     "g10_entities": (chunk_entities, ENTITIES),
     "g11_community_summary": (summaries, f"""WITH {EDGES}, {LABELS}, d AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src),
 r AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS r FROM l3 JOIN d USING (node))

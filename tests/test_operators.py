@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cosine, dot, normalize_ws, page_title, strip_html, terms
 from tessera.operators import graph, lexical, qa, temporal, text, vector
+from tessera.plans import graphs
 from tessera.sources import load, save
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("c", "f")]
@@ -119,3 +120,10 @@ def test_save_and_load(spark, tmp_path):
 def test_filter_and_columns_reach_the_scan(spark, sf):
     plan = lexical.filtered_retrieval(spark.createDataFrame([(1, "a")], "question_id long, text string"), load(spark, sf, "documents"), lang="fr")._jdf.queryExecution().toString()
     assert "EqualTo(lang,fr)" in plan and "n_chars" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_triangles_of_every_turn(spark, tmp_path):
+    """The triangle stands in the turn whose text sorts last, and no edge joins two turns."""
+    rows = [(1, 0, "user", "a b"), (1, 1, "assistant", "x y z"), (1, 2, "user", "b c"), (2, 0, "user", "c a")]
+    save(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), str(tmp_path / "conversations.parquet"))
+    assert graphs.turn_triangles(spark, str(tmp_path)).first()["triangles"] == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import terms
 from .lexical import doc_freq, postings
 from .sizes import materialized, small
 from .text import chunk, links, tokenize
@@ -31,6 +32,16 @@ def edges_cooccur(docs: DataFrame, reach: int = 2) -> DataFrame:
     return pairs.groupBy(F.least("term", "other").alias("src"), F.greatest("term", "other").alias("dst")).agg(F.count("*").alias("weight"))
 
 
+def edges_chunk_cooccur(docs: DataFrame, size: int = 500, stride: int = 400) -> DataFrame:
+    """Terms of one chunk, however far apart; weight counts the chunks they share.
+
+    A chunk's length bounds its pairs, which are made within its row and counted before the shuffle."""
+    found = chunk(docs, size, stride).select(F.array_sort(F.array_distinct(terms(F.col("text")))).alias("t"))
+    first = found.select("t", F.posexplode("t").alias("i", "src"))
+    pairs = first.select("src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     one = edges.select("src", "dst").where("src != dst")
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -35,6 +35,10 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_cooccur(load(spark, sf_dir, "documents"))
 
 
+def chunk_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_chunk_cooccur(load(spark, sf_dir, "documents"))
+
+
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degree(_edges(spark, sf_dir))
 
@@ -109,10 +113,15 @@ df AS (SELECT term, count(*) AS df FROM post GROUP BY term), n AS (SELECT count(
 r AS (SELECT chunk, term, round(tf * ln(n / df::DOUBLE), 6) AS weight FROM post JOIN df USING (term), n)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY weight DESC, term)::INTEGER AS rank FROM r) WHERE rank <= 3"""
 
+CHUNK_COOCCUR = f"""WITH pieces AS (SELECT doc_id || '#' || c AS chunk, substr(text, c * 400 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) AS c FROM documents WHERE length(text) > 0)),
+t AS (SELECT DISTINCT chunk, unnest({TERMS}) AS term FROM pieces)
+SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM t a JOIN t b ON a.chunk = b.chunk AND a.term < b.term GROUP BY ALL"""
+
 QUERIES = {
     "g1_page_edges": (page_edges, f"WITH {EDGES} SELECT * FROM edges"),
     "g2_knn_edges": (knn_edges, "WITH s AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_sum([a[1]::DOUBLE * a[2]::DOUBLE FOR a IN list_zip(q.embedding, d.embedding)]), 9) AS weight FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM s) WHERE r <= 3"),
     "g3_cooccurrence": (cooccurrence, f"WITH {_cooccur('documents')} SELECT * FROM cooccur"),
+    "g3_chunk_cooccurrence": (chunk_cooccurrence, CHUNK_COOCCUR),
     "g4_degree": (degrees, f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src"),
     "g5_khop": (two_hops, f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE page_id % {SEEDS} = 0), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)), h2 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
     "g6_components": (connected, f"WITH RECURSIVE {EDGES}, reach(node, seen) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src) SELECT node, min(seen) AS component FROM reach GROUP BY node"),

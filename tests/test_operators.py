@@ -122,6 +122,13 @@ def test_filter_and_columns_reach_the_scan(spark, sf):
     assert "EqualTo(lang,fr)" in plan and "n_chars" not in plan.split("== Physical Plan ==")[1]
 
 
+def test_chunk_cooccurrence_at_any_distance(spark):
+    docs = spark.createDataFrame([(1, "a b c d a e"), (2, "e A"), (3, None), (4, "x" + " " * 400 + "y" + " " * 200 + "z")], "doc_id long, text string")
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.edges_chunk_cooccur(docs).collect()}
+    first = {(a, b): 1 for i, a in enumerate("abcde") for b in "abcde"[i + 1 :]}
+    assert got == first | {("a", "e"): 2, ("x", "y"): 1, ("y", "z"): 1}
+
+
 def test_triangles_of_every_turn(spark, tmp_path):
     """The triangle stands in the turn whose text sorts last, and no edge joins two turns."""
     rows = [(1, 0, "user", "a b"), (1, 1, "assistant", "x y z"), (1, 2, "user", "b c"), (2, 0, "user", "c a")]

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_path, with_end, word_memo
@@ -226,12 +226,14 @@ def write_shards(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
 def shard_starts(shards: DataFrame) -> DataFrame:
     """Each shard with the ids of all shards before it.
 
-    The running sum is over one row of three numbers a shard; a shard has up to two million ids."""
-    from pyspark.sql import Window
-
-    totals = shards.select("part", "shard", "n_tokens")
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
+    A running sum within each part, and one over the parts' totals: a row for each range that the
+    documents were dealt into, a number the session sets."""
+    sizes = shards.select("part", "shard", "n_tokens")
+    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = totals.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_tokens").over(earlier.partitionBy("part").orderBy("shard")), F.lit(0))
+    return sizes.select("part", "shard", inside.alias("inside")).join(F.broadcast(firsts), "part").select("part", "shard", (F.col("first") + F.col("inside")).alias("before"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -249,7 +251,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(row["before"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], schema=schema)
 
-    return shards.join(F.broadcast(shard_starts(shards)), ["part", "shard"]).mapInArrow(run, ddl)
+    # by a shuffle of the shards, which are small beside the texts: their number grows with the corpus
+    return shards.join(shard_starts(shards).hint("merge"), ["part", "shard"]).mapInArrow(run, ddl)
 
 
 def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import default_path, with_end, word_memo
+from .encoding import default_path, library, with_end, word_memo
 from .shared import arrow_of, id_and_text, read, slices, stored
 
 DIMENSIONS, BITS = 4, 12
@@ -35,7 +35,7 @@ LENGTH = 4096
 SLICE_BYTES = 2 << 20
 
 
-def projection(n_ids: int = 1 << 16, dimensions: int = DIMENSIONS) -> np.ndarray:
+def projection(n_ids: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     """What one occurrence of each id adds to the projected vector: its bucket's row, with a hashed sign."""
     ids = np.arange(n_ids, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bucket, sign = (ids >> np.uint64(20)) % np.uint64(BUCKETS), np.where((ids >> np.uint64(63)) == 1, -1, 1)
@@ -80,16 +80,17 @@ def curve_keys(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.nda
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """row (unique), doc_id, n_tokens, curve key and little-endian two-byte ids of each document, stored."""
+    """row (unique), doc_id, n_tokens, curve key and little-endian ids of each document, stored; two bytes an id where the vocabulary allows."""
     ddl = "row long, doc_id long, n_tokens long, key long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, schema, table = word_memo(path), arrow_of(ddl), projection()
+        memo, schema, table = word_memo(path), arrow_of(ddl), projection(library(path).get_vocab_size() + end + 1)
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for b in slices(batches, "text", SLICE_BYTES):
             flat, sizes = with_end(*memo.ids(b.column("text").to_pylist()), end)
-            offsets = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<u2").tobytes())])
+            raw = np.ascontiguousarray(flat, flat.dtype.newbyteorder("<"))
+            offsets = np.concatenate([[0], np.cumsum(raw.itemsize * sizes)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
             yield pa.record_batch([pa.array(np.arange(row, row + len(sizes))), b.column("doc_id"), pa.array(sizes), pa.array(curve_keys(flat, sizes, table)), ids], schema=schema)
             row += len(sizes)
 
@@ -128,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 2, length: int = LENGT
         for b in slices(batches, "ids", 2 * SLICE_BYTES):
             out: list[tuple] = []
             for doc, n, raw, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "at")), strict=True):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 for sequence in range(at // length, (at + n - 1) // length + 1):
                     a, z = max(at, sequence * length) - at, min(at + n, (sequence + 1) * length) - at
                     out.append((doc, a, z - a, zlib.crc32(ids[a:z].tobytes()), n, sequence, at + a - sequence * length, *([ids[a:z].astype(np.int32)] * with_ids)))

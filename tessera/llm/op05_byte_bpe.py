@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .encoding import PieceMemo, default_path
+from .encoding import PieceMemo, default_path, flattened, id_type
 from .op02_prefix_counts import byte_letters
 from .shared import arrow_of, id_and_text, read, slices
 
@@ -102,7 +102,7 @@ class ByteBpe:
         self.table = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.digits = [b"%d," % i for i in range(size)]
-        self.memo = PieceMemo(self.cut, self.encode_cuts)
+        self.memo = PieceMemo(self.cut, lambda cuts: flattened(self.encode_cuts(cuts)), id_type(size))
 
     def cut(self, text: str) -> list[str]:
         """Cuts before each space that follows something other than white space."""

@@ -15,7 +15,7 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(__file__))
 from cases import BYTES, ODD, WORD, counted, crc, documents, no_docs, odd_docs, word_ids  # noqa: E402
 
-from tessera.llm import op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, registry  # noqa: E402
+from tessera.llm import encoding, op01_repair, op02_prefix_counts, op03_curve_packing, op05_byte_bpe, registry  # noqa: E402
 
 ALPHABET = [*"aaabbe  \n\t\r\x1c\x1f\x85\xa0'sstld.!!--012東नकǕİßＡ🙂\x00", "<|endoftext|>", "hello", "</w>"]
 
@@ -25,6 +25,15 @@ def odd_texts(n, seed=3):
     return ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 14))) for _ in range(n)]
 
 
+def test_joined_pieces_have_the_librarys_ids():
+    tokenizer = encoding.library(WORD)
+    told = ["é́'s", "́a", "\x7fa", "b\x7f", "한", "ᆫ", "ẍ́", "ΑΣ", "İ", "'s", "it's.", "x" * 3000, "a1b22--c", "<|endoftext|>x", "<|", "~", "\x00"]
+    pieces = [*told, *(p for t in odd_texts(3000) for p in encoding.cut_at_spaces(t))]
+    flat, sizes = encoding.JoinedEncoder(tokenizer)(pieces)
+    want = [x.ids for x in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 # 1: shards
 
 
@@ -137,7 +146,7 @@ def test_hilbert_steps_go_to_neighbours(dimensions, bits):
 
 
 def test_like_documents_get_close_keys():
-    table = op03_curve_packing.projection()
+    table = op03_curve_packing.projection(1 << 16)
     texts = ["red green blue " * 40, "red green blue " * 40 + "red", "seven ships sailed south " * 40]
     ids = [word_ids(t, 2) for t in texts]
     keys = op03_curve_packing.curve_keys(np.concatenate(ids).astype(np.uint16), np.array([len(x) for x in ids]), table)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from cases import BYTES, ODD, WORD, counted, crc, documents, no_docs, odd_docs, word_ids  # noqa: E402
@@ -80,19 +81,49 @@ def test_repair_is_exact_and_random_access(most_id):
 
 def test_counts_of_all_documents(spark, sf):
     rows = registry.queries()["op2_prefix_counts"](spark, sf).collect()
-    want = [(r["doc_id"], len(r["text"].encode()), n := len(word_ids(r["text"])), n > 2048) for r in documents(spark, sf).collect()]
-    assert counted(rows) == counted(want)
+    texts = {r["doc_id"]: r["text"] for r in documents(spark, sf).collect()}
+    want = [(i, len(t.encode()), n := len(word_ids(t)), n > 2048) for i, t in texts.items()]
+    assert counted(r[:4] for r in rows) == counted(want) and any(r["over_limit"] for r in rows)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert len(word_ids(text[: r["cut_at"]])) <= 2048 and (len(word_ids(text[: r["cut_at"] + 1])) > 2048) == r["over_limit"]
+
+
+def test_counts_are_answered_from_what_is_stored(spark, sf, monkeypatch):
+    """Stored tables whose counts are cleared give no tokens, so the columns come from nowhere else."""
+    keep = op02_prefix_counts.stored
+    monkeypatch.setattr(op02_prefix_counts, "stored", lambda df, name: keep(df.withColumn("deltas", F.lit(bytearray(b"\1\1"))), name))
+    assert {(r["n_tokens"], r["cut_at"]) for r in registry.queries()["op2_prefix_counts"](spark, sf).collect()} == {(2, 2)}
 
 
 def test_counts_of_odd_rows(spark):
-    rows = op02_prefix_counts.prefix_counts(odd_docs(spark), WORD).collect()
+    counts = op02_prefix_counts.prefix_counts(odd_docs(spark), WORD)
+    rows = op02_prefix_counts.budget_answers(counts, 2048).collect()
     assert counted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in rows) == counted((i, len((t or "").encode()), len(word_ids(t))) for i, t in ODD)
-    assert all(op02_prefix_counts.tokens_before(r["deltas"], 1 << 30) == r["n_tokens"] for r in rows)
+    assert all(len(r["deltas"]) == len(dict(ODD)[r["doc_id"]] or "") for r in counts.collect())
     assert op02_prefix_counts.prefix_counts(no_docs(spark), WORD).count() == 0
 
 
+MARKS = [*"ab'sreté한각e\u0301\u0323\u0344\u1161\u11a8\u0958\u093c\u0b92\u0bd7İΣ\u212b\u0f73。!!5", "e\u0301", "\u1100\u1161\u11a8", "'"]
+
+
+def marked_texts(n, seed=5):
+    r = random.Random(seed)
+    return ["".join(r.choice(MARKS) for _ in range(r.randint(1, 16))) for _ in range(n)]
+
+
+def test_a_long_word_that_normalization_changes():
+    """Linear in the word: at the square of it this would take hours."""
+    r = random.Random(8)
+    for text in ("".join(r.choice("東京都大阪府日本語文字列") for _ in range(99_000)) + "e\u0301" + "漢" * 1000, "abce\u0301" * 20_000, "e" + "\u0301" * 20_000):
+        counts = op02_prefix_counts.counter(WORD).word_counts(text)
+        assert len(counts) == len(text) + 1
+        for k in [1, 2, 3, 4, 5, 999, 1000, 1001, 1002, len(text) // 2, len(text) - 1001, len(text) - 1000, len(text) - 1, len(text)]:
+            assert counts[k] == len(word_ids(text[:k])), k
+
+
 def test_every_prefix_has_the_librarys_count():
-    texts = [*odd_texts(300), ODD[0][1], ODD[7][1]]
+    texts = [*odd_texts(300), *marked_texts(1500), ODD[0][1], ODD[7][1]]
     for text, deltas in zip(texts, op02_prefix_counts.PrefixCounter(WORD).deltas(texts), strict=True):
         want = [len(word_ids(text[:i])) for i in range(len(text) + 1)]
         raw = deltas.tobytes()

@@ -8,8 +8,9 @@ such a choice are settled by ``merge_bytes``, which merges by rank and then from
 A text is cut before every space that follows a character other than white space; no match of the
 splitting pattern crosses such a cut, so the library sees each distinct cut once. Byte offsets of
 the tokens are running sums of their lengths; character offsets count the bytes that start one.
-Decoding reverses the byte table; a token may hold part of a character, so bytes are put together
-before they are read as UTF-8, and ``StreamDecoder`` holds back an unfinished character.
+Decoding looks up the ids' strings in the library's vocabulary and reverses the byte table: each
+printable character goes back to its byte. A token may hold part of a character, so bytes are put
+together before they are read as UTF-8, and ``StreamDecoder`` holds back an unfinished character.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; special strings are
 ordinary text; repeated rows are encoded each; an empty table gives an empty result; other columns
@@ -24,6 +25,7 @@ import hashlib
 import heapq
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,11 +97,14 @@ class ByteBpe:
         self.library = Tokenizer(model)
         self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = max(self.ranks.values()) + 1
-        self.tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.lengths = np.fromiter(map(len, self.tokens), np.int32, size)
-        self.table = np.frombuffer(b"".join(self.tokens), np.uint8)
+        strings = [""] * size
+        for token, rank in self.library.get_vocab().items():
+            strings[rank] = token
+        self.lengths = np.fromiter(map(len, strings), np.int32, size)
+        #: the vocabulary's strings one after another, as code points, and the byte of each code point
+        self.table = np.fromiter(map(ord, "".join(strings)), np.uint16)
+        self.byte_of = np.zeros(1 + max(map(ord, letters)), np.uint8)
+        self.byte_of[[ord(c) for c in letters]] = np.arange(256)
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.digits = [b"%d," % i for i in range(size)]
         self.memo = PieceMemo(self.cut, lambda cuts: flattened(self.encode_cuts(cuts)), id_type(size))
@@ -129,14 +134,22 @@ class ByteBpe:
 
     def char_offsets(self, ids: np.ndarray) -> np.ndarray:
         """(start, end) characters of each token; tokens that share a split character overlap."""
-        raw, ends = self.decode(ids), self.byte_offsets(ids)
-        begins = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-        return np.stack([np.maximum(begins[np.minimum(ends[:-1] + 1, len(raw))] - 1, 0), begins[ends[1:]]], axis=1)
+        return self.spans(self.decoded(ids), self.byte_offsets(ids))
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    @staticmethod
+    def spans(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Characters of the tokens that lie between the byte offsets ``at`` of ``raw``."""
+        begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])
+        return np.stack([np.maximum(begins[np.minimum(at[:-1] + 1, len(raw))] - 1, 0), begins[at[1:]]], axis=1)
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the ids' strings, each character turned back by the byte table."""
         sizes = self.lengths[ids]
         ends = np.cumsum(sizes, dtype=np.int64)
-        return self.table[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        return self.byte_of[self.table[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decoded(ids).tobytes()
 
     def decode_text(self, ids: np.ndarray) -> str:
         return self.decode(ids).decode("utf-8", "replace")
@@ -194,19 +207,31 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, digest of the ids, and digest of the bytes decoded from them."""
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """Per document: number of ids, digests of the ids and of the bytes decoded from them, and of the offsets.
+
+    ``n_chars`` are the decoded characters, ``split_tokens`` the tokens that begin or end inside one, and
+    ``offsets_crc32`` covers the tokens' starts and then their ends in characters, as little-endian
+    unsigned 32-bit integers."""
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, split_tokens long, offsets_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, schema = byte_bpe(path, pattern), arrow_of(ddl)
         for b in slices(batches, "text", SLICE_BYTES):
             flat, sizes = bpe.encode(b.column("text").to_pylist())
-            raw, ends = bpe.decode(flat), np.cumsum(sizes)
-            at = bpe.byte_offsets(flat)
+            raw, at, ends = bpe.decoded(flat), bpe.byte_offsets(flat), np.cumsum(sizes)
+            spans = bpe.spans(raw, at)
+            # a token is split from what follows or comes before it where a byte in the middle of a character starts one
+            inside = np.concatenate([(raw[at[:-1]] & 0xC0) == 0x80, [False]])
+            broken = np.concatenate([[0], np.cumsum(inside[:-1] | inside[1:])])
+            first = ends - sizes
+            base = np.concatenate([spans[:, 0], [0]])[first]  # where each text's characters start
+            chars = np.where(sizes > 0, np.concatenate([[0], spans[:, 1]])[ends] - base, 0)
+            spans = (spans - np.repeat(base, sizes)[:, None]).astype("<u4")
+            offsets = [zlib.crc32(spans[a:z, 1].tobytes(), zlib.crc32(spans[a:z, 0].tobytes())) for a, z in zip(first.tolist(), ends.tolist(), strict=True)]
             digits, view = [bpe.digits[i] for i in flat.tolist()], memoryview(raw)
             written = [hashlib.sha256(b"".join(digits[e - n : e])[:-1]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             decoded = [hashlib.sha256(view[at[e - n] : at[e]]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes), pa.array(written), pa.array(decoded)], schema=schema)
+            yield pa.record_batch([b.column("doc_id"), pa.array(sizes), pa.array(written), pa.array(decoded), pa.array(chars.astype(np.int64)), pa.array(broken[ends] - broken[first]), pa.array(offsets, pa.int64())], schema=schema)
 
     return id_and_text(docs).mapInArrow(run, ddl)
 

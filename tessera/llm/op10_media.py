@@ -8,8 +8,9 @@ threshold and lasts until the energy falls below the lower one).
 
 ``audio_features`` keeps the log-mel frames as fixed-shape Arrow tensors (blocks of
 ``BLOCK_FRAMES`` x ``MELS``, the last one padded with zeros) with the time span of each block, and
-the segments' spans. A recording of hours is worked through in runs of frames, so memory stays
-bounded by one recording's samples and its small feature matrix.
+the segments' spans. The query stores these and makes its ``feature`` from the tensors and spans that
+it reads back. A recording of hours is worked through in runs of frames, so memory stays bounded by
+one recording's samples and its small feature matrix.
 
 Defined results: null and empty texts become 64 zero samples; equal texts give equal values; a
 repeated row is worked as often as it occurs; an empty table gives an empty result; other columns
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .shared import arrow_of, id_and_text, read, slices, stored
 
 RATE = 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 5, 8  # five phases: 16 kHz to 10 kHz
 TAPS = 8  # of each phase
 FRAME, HOP = 256, 128
 MELS = 20
@@ -174,20 +176,18 @@ def text_media(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, ddl)
 
 
-def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Digests, a short feature string, and with_tensors the blocks and segments, of a media column."""
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tensors binary, segment_start_s array<double>, segment_end_s array<double>" * with_tensors
+def audio_features(media: DataFrame) -> DataFrame:
+    """Digests of a media column, its log-mel tensors with time spans (an Arrow stream), and its segments."""
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, segment_start_s array<double>, segment_end_s array<double>"
 
     def row(media: bytes | None) -> list:
         try:
             f = features(media or b"")
         except ValueError:
-            return [None] * (6 + 3 * with_tensors)
-        payload, mel, spans = f["samples"], f["mel"], f["segments"]
-        mean = mel.mean(axis=0, dtype=np.float64)
-        words = f"frames={len(mel)};segments={len(spans)};loud_s={sum(b - a for a, b in spans):.3f};mel=" + ",".join(f"{x:.2f}" for x in mean)
-        out = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), words]
-        return out + ([as_ipc(tensor_blocks(mel, f["rate"])), [a for a, _ in spans], [b for _, b in spans]] if with_tensors else [])
+            return [None] * 8
+        payload, spans = f["samples"], f["segments"]
+        digests = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()]
+        return [*digests, as_ipc(tensor_blocks(f["mel"], f["rate"])), [a for a, _ in spans], [b for _, b in spans]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_of(ddl)
@@ -198,6 +198,30 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
 
 
+def feature_strings(found: DataFrame) -> DataFrame:
+    """The digests of ``audio_features`` and a short feature string, made from its tensors and spans.
+
+    It holds the number of frames, the end of the last block, number and length of the segments, and
+    each mel band's mean over the frames; it is null where the tensors are."""
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def words(raw: bytes, starts: list[float], ends: list[float]) -> str:
+        blocks = from_ipc(raw).combine_chunks()
+        real = blocks["frames"].to_numpy()
+        mel = blocks["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, BLOCK_FRAMES, MELS)
+        mean = mel.sum(axis=(0, 1), dtype=np.float64) / real.sum()  # frames that pad a block are zero
+        loud = sum(b - a for a, b in zip(starts, ends, strict=True))
+        return f"frames={real.sum()};end_s={blocks['end_s'][-1].as_py():.4f};segments={len(starts)};loud_s={loud:.3f};mel=" + ",".join(f"{x:.2f}" for x in mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "tensors", SLICE_BYTES):
+            made = [None if x is None else words(x, a, z) for x, a, z in zip(*(b.column(c).to_pylist() for c in ("tensors", "segment_start_s", "segment_end_s")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(made, pa.string())], names=[*kept, "feature"])
+
+    types = {f.name: f for f in found.schema.fields}
+    return found.mapInArrow(run, T.StructType([*(types[c] for c in kept), T.StructField("feature", T.StringType())]))
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(text_media(read(spark, sf_dir, "documents")), "media")
-    return audio_features(media, with_tensors=False)
+    return feature_strings(stored(audio_features(media), "tensors"))

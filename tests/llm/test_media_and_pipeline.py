@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from cases import ODD, counted, documents, no_docs, odd_docs  # noqa: E402
@@ -40,26 +41,59 @@ def media_row(doc_id, text):
     return doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()
 
 
+def feature_by_hand(payload):
+    """The feature string from the samples, by convolution and frame by frame."""
+    up, down, rate = op10_media.UP, op10_media.DOWN, op10_media.RATE * op10_media.UP / op10_media.DOWN
+    wide = np.zeros(len(payload) * up)
+    wide[::up] = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    y = np.convolve(wide, op10_media.lowpass(up, down, op10_media.TAPS * max(1, down // up)))[: len(wide)][::down]
+    n = max(1, -(-max(len(y) - 256, 0) // 128) + 1)
+    y = np.concatenate([y, np.zeros((n - 1) * 128 + 256 - len(y))])
+    power = np.array([np.abs(np.fft.rfft(y[128 * i : 128 * i + 256] * np.hanning(256))) ** 2 for i in range(n)])
+    mel = np.log(power @ op10_media.mel_bank(rate) + 1e-10)
+    return n, ((n - 1) * 128 + 256) / rate, mel.mean(axis=0)
+
+
+def check_feature(feature, payload):
+    said = dict(x.split("=") for x in feature.split(";"))
+    n, end, mean = feature_by_hand(payload)
+    assert int(said["frames"]) == n and abs(float(said["end_s"]) - end) < 1e-3
+    assert np.allclose([float(x) for x in said["mel"].split(",")], mean, atol=0.02)
+
+
 def test_media_of_all_documents(spark, sf):
     rows = registry.queries()["op10_audio_features"](spark, sf).collect()
     docs = documents(spark, sf).collect()
     assert counted(r[:7] for r in rows) == counted(media_row(r["doc_id"], r["text"]) for r in docs)
-    features = {}
+    texts, features = {r["doc_id"]: r["text"] for r in docs}, {}
     assert all(features.setdefault(r["payload_sha256"], r["feature"]) == r["feature"] for r in rows)
+    for r in rows[:60]:
+        raw = texts[r["doc_id"]].encode()
+        check_feature(r["feature"], raw + bytes(r["payload_bytes"] - len(raw)))
+
+
+def test_features_come_from_the_stored_tensors(spark, sf, monkeypatch):
+    """Tensors exchanged for those of silence, where they are stored, give the features of silence."""
+    keep, silent = op10_media.stored, op10_media.as_ipc(op10_media.tensor_blocks(np.zeros((40, op10_media.MELS), np.float32), 10_000))
+    monkeypatch.setattr(op10_media, "stored", lambda df, name: keep(df.withColumn("tensors", F.lit(bytearray(silent))) if "tensors" in df.columns else df, name))
+    rows = registry.queries()["op10_audio_features"](spark, sf).collect()
+    assert {(x := r["feature"].split(";"))[0] + x[-1][:11] for r in rows} == {"frames=40mel=0.00,0."}
 
 
 def test_media_of_odd_rows(spark):
-    rows = op10_media.audio_features(op10_media.text_media(odd_docs(spark))).collect()
+    found = op10_media.audio_features(op10_media.text_media(odd_docs(spark)))
+    rows = found.collect()
     assert counted(r[:7] for r in rows) == counted(media_row(i, t) for i, t in ODD)
     for r in rows:
         table = op10_media.from_ipc(r["tensors"])
-        n = max(1, -(-max(r["payload_bytes"] // 2 - 256, 0) // 128) + 1)
+        n = max(1, -(-max(-(-r["payload_bytes"] * op10_media.UP // op10_media.DOWN) - 256, 0) // 128) + 1)
         assert sum(table["frames"].to_pylist()) == n and table["start_s"][0].as_py() == 0
         assert table.schema.field("log_mel").type.shape == [op10_media.BLOCK_FRAMES, op10_media.MELS]
         assert all(a < b for a, b in zip(r["segment_start_s"], r["segment_end_s"], strict=True))
-    assert op10_media.audio_features(op10_media.text_media(no_docs(spark))).count() == 0
+    assert counted(r[:7] for r in op10_media.feature_strings(found).collect()) == counted(r[:7] for r in rows)
+    assert op10_media.feature_strings(op10_media.audio_features(op10_media.text_media(no_docs(spark)))).count() == 0
     broken = spark.createDataFrame([(1, 4, bytearray(b"oops")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
-    assert all(r["feature"] is None and r["tensors"] is None for r in op10_media.audio_features(broken).collect())
+    assert all(r["feature"] is None and r["payload_bytes"] is None for r in op10_media.feature_strings(op10_media.audio_features(broken)).collect())
 
 
 @pytest.mark.parametrize("up,down", [(1, 2), (3, 2), (2, 1), (5, 3)])

@@ -42,6 +42,7 @@ REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 SLICE_BYTES = 2 << 20
 BLOCK, BLOCK_BYTES = 256, 16 << 20
+PIVOT_PAIRS = 512
 COLUMNS = 4096  # of a matrix product
 NO_ID = (1 << 63) - 1
 
@@ -195,7 +196,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) those whose similarity reaches the threshold."""
+    """Of the pairs (a, b, copies) those whose similarity reaches the threshold."""
     ddl = "a long, b long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +206,14 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array([probability_jaccard(x, y) >= threshold for x, y in zip(*lists, strict=True)], pa.bool_())
             yield pa.record_batch([b.column("a"), b.column("b")], schema=schema).filter(keep)
 
-    one, other = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"in_{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "in_a", "in_b").mapInArrow(run, ddl)
+    # a pivot of large buckets is copied once for each PIVOT_PAIRS of their members, so no task gets all its pairs
+    pivots = pairs.groupBy("a").agg(F.max("copies").alias("copies")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    pivots = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("in_a")).join(pivots, "a")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy")).join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("in_b")), "b")
+    return dealt.join(pivots, ["a", "copy"]).select("a", "b", "in_a", "in_b").mapInArrow(run, ddl)
 
 
-def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node it is linked to. Labels go along links and are then followed to
     their own labels, so the rounds grow with the logarithm of a chain's length."""
     both = stored(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(links.select("b", "a")).distinct(), "edges")
@@ -332,9 +336,10 @@ def linked_components(reps: DataFrame, threshold: float) -> DataFrame:
     """node, comp for the representatives that have links."""
     exploded = reps.where("bands is not null").select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    members = stored(exploded.join(shared, "band").select("band", "rep", "pivot"), "members")
+    members = stored(exploded.join(shared, "band").select("band", "rep", "pivot", "n"), "members")
     sets = stored(reps.select("rep", "shingles").join(members.select("rep").distinct(), "rep", "left_semi"), "sets")
-    pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    copies = F.ceil(F.max("n") / F.lit(float(PIVOT_PAIRS))).cast("int").alias("copies")
+    pairs = members.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(copies)
     links = stored(verified(pairs, sets, threshold), "links")
     comps = components(links)
     labelled = stored(members.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(sets.select("rep", F.octet_length("shingles").alias("bytes")), "rep"), "labelled")
@@ -372,13 +377,14 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A row is known by its id and the hash of its text; rows equal in both are one document, and
     only where there are such rows is one of them chosen in a further step."""
-    kept = near_duplicate_rows(docs, threshold).where("keep").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_hash") == F.col("_kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
-    found = marked.join(kept, same, "left_semi")
-    if docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id", "_hash"])
-    return found.select(*docs.columns)
+    kept = near_duplicate_rows(docs, threshold).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    # a row travels as one struct, so its columns can't clash with those made here
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")]
+    marked = docs.select(*own)
+    found = marked.join(kept, (F.col("hash") == F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if docs.select(*own[1:]).groupBy("id", "hash").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["id", "hash"])
+    return found.select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

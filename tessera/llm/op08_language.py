@@ -32,7 +32,6 @@ BUCKETS = 1 << 16
 SWITCH = 10.0
 SMOOTH = 0.5
 SLICE_BYTES = 4 << 20
-MOST_LANGUAGES = 256
 SCRIPT_SHARE = 0.01  # a language uses a script that has this share of its letters
 EXCLUDED = np.float32(-1e4)
 
@@ -55,7 +54,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its lower case, 0 if it is no letter, and its script."""
     if not _TABLES:
         lower = np.zeros(sys.maxunicode + 1, np.uint32)
-        for i in range(0x32000):
+        for i in range(sys.maxunicode + 1):
             c = chr(i)
             if c.isalpha():
                 small = c.lower()
@@ -128,8 +127,6 @@ def learn(docs: DataFrame) -> Model:
     known = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     counts = trigram_counts(known).toPandas()
     languages = sorted(set(counts["lang"]))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     table[counts["bucket"], [languages.index(x) for x in counts["lang"]]] = counts["n"]
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
@@ -152,7 +149,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
     order = np.argsort(-counts, kind="stable")
     first, sizes = (np.cumsum(counts) - counts)[order], counts[order]
     going = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
-    state, back, own = np.zeros((len(order), k), np.float32), np.empty((n, k), np.uint8), np.arange(k, dtype=np.uint8)
+    kind = np.uint8 if k <= 256 else np.uint32
+    state, back, own = np.zeros((len(order), k), np.float32), np.empty((n, k), kind), np.arange(k, dtype=kind)
     for t, active in enumerate(going.tolist()):
         at, now = first[:active] + t, state[:active]
         if t:
@@ -161,8 +159,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
             back[at] = np.where(stay, own, now.argmax(axis=1)[:, None])
             now = np.where(stay, now - best, -switch)
         state[:active] = now + scores[at]
-    path = np.empty(n, np.uint8)
-    last = state.argmax(axis=1).astype(np.uint8)
+    path = np.empty(n, kind)
+    last = state.argmax(axis=1).astype(kind)
     for t in range(len(going) - 1, -1, -1):
         active = going[t]
         at = first[:active] + t
@@ -190,7 +188,7 @@ def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     _, _, words, path = predict([text], model)
     if not len(path) or not model.languages:
         return []
-    cut = np.flatnonzero(np.diff(path.astype(int), prepend=-1))
+    cut = np.flatnonzero(np.diff(path.astype(np.int64), prepend=-1))
     ends = words.places + words.letters
     return [(int(words.places[a]), int(ends[z - 1]), model.languages[path[a]]) for a, z in zip(cut, [*cut[1:], len(path)], strict=True)]
 

@@ -6,13 +6,16 @@ conditions on statistics, a rule. A logistic regression with an L1 penalty (lass
 and leaves most at zero. The rest are compiled into one Spark column expression, so scoring is a
 projection over the statistics.
 
-Trees and weights are trained by Spark over all labelled rows of the learning fold; nothing is
-sampled or sent to the driver but the rules (at most ``TREES`` times 2 ** (``DEPTH`` + 1)).
+Trees and weights are trained by Spark over all labelled rows of the learning fold. Each tree of the
+forest draws its own ``SUBSAMPLE`` of them, as random forests do; the weights are fitted to all.
+Nothing is sent to the driver but the rules (at most ``TREES`` times 2 ** (``DEPTH`` + 1)).
 
 Defined results: null and empty texts have statistics of 0 and get a score like others; labels that
-are null or name no document are not used; with labels of one kind only, or none, every score is
-that kind's share (0.5 without any); repeated rows are scored each; an empty table gives an empty
-result; other columns of the input are not read.
+are null or name no document are not used; of several labels for one id the largest counts, and of
+several texts with one id the one whose statistics sort first is learned from; with labels of one
+kind only, or none, every score is that kind's share (0.5 without any); repeated rows are scored
+each; an empty table gives an empty result; other columns of the input are not read, whatever their
+names, and ``good_documents`` gives them back as they were.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .op09_near_dups import word_hashes
-from .shared import arrow_of, held_out_fold, id_and_text, read, slices, stored
+from .shared import arrow_of, held_out_fold, read, slices, stored
 
 STATISTICS = [
     "chars", "words", "lines", "word_length", "line_length", "upper_share", "digit_share", "mark_share",
     "symbol_share", "space_share", "exclaims_a_word", "pipes_a_word", "stops_a_word", "distinct_share",
     "repeat_share", "line_repeat_share", "top_symbol_words",
 ]
-PREFIX = "_stat_"  # keeps the columns apart from those of the input
-COLUMNS = [PREFIX + s for s in STATISTICS]
+COLUMNS = ["_stat_" + s for s in STATISTICS]
 TREES, DEPTH = 24, 4
+SUBSAMPLE = 0.7
 PENALTY = 2e-4
 SEED = 11
 SLICE_BYTES = 2 << 20
@@ -104,16 +107,22 @@ def _line_hashes(data: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix * np.uint64(0xBF58476D1CE4E5B9), starts)
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and one double column, PREFIX and its name, for each statistic."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in COLUMNS)])
+def with_statistics(docs: DataFrame, keep: Column) -> DataFrame:
+    """``keep`` under its name, and one double column for each statistic of ``text``."""
+    rows = docs.select(keep, F.col("text").alias("_text"))
+    schema = T.StructType([rows.schema.fields[0], *(T.StructField(c, T.DoubleType()) for c in COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE_BYTES):
-            table = statistics(b.column("text").fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in table.T)], names=[*b.schema.names, *COLUMNS])
+        for b in slices(batches, "_text", SLICE_BYTES):
+            table = statistics(b.column(1).fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in table.T)], names=[b.schema.names[0], *COLUMNS])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of each row, stored."""
+    return stored(with_statistics(docs, F.col("doc_id").cast("long").alias("doc_id")), "statistics")
 
 
 def tree_paths(printed: str) -> list[tuple[tuple[int, str, float], ...]]:
@@ -173,7 +182,7 @@ def fit_rules(training: DataFrame, label: str) -> tuple[float, list[tuple[float,
         share = min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share))), []
     assembled = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(training.withColumn("label", F.col(label).cast("double")))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.7, seed=SEED).fit(assembled)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=SUBSAMPLE, seed=SEED).fit(assembled)
     rules = tree_paths(forest.toDebugString)
     if not rules:
         share = ones / n
@@ -199,19 +208,22 @@ def learned_score(found: DataFrame, labels: DataFrame, label: str = "quality", l
 
     Labels of rows where ``learned`` (a condition on doc_id) is false are not looked at."""
     told = labels.where(F.col(label).isin(0, 1) & (F.lit(True) if learned is None else learned)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("_label"))
-    training = stored(found.select("doc_id", *COLUMNS).dropDuplicates(["doc_id"]).join(told, "doc_id"), "training")
+    one = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("its")).select("doc_id", "its.*")
+    training = stored(one.join(told, "doc_id"), "training")
     return score_column(*fit_rules(training, "_label"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, learned: Column | None = None, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, with their columns, that score ``least`` or more. The second pass over the texts is without a shuffle."""
-    score = learned_score(stored(with_statistics(id_and_text(docs)).drop("text"), "statistics"), labels, learned=learned)
-    return with_statistics(docs).where(score >= least).select(*docs.columns)
+    """Rows of ``docs``, with their columns, that score ``least`` or more. The second pass over the texts is without a shuffle.
+
+    A row travels as one struct, so its columns can't clash with those made here."""
+    score = learned_score(document_statistics(docs), labels, learned=learned)
+    return with_statistics(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).where(score >= least).select("row.*")
 
 
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = held_out_fold(F.col("doc_id"))
-    found = stored(with_statistics(id_and_text(read(spark, sf_dir, "documents"))).drop("text"), "statistics")
+    found = document_statistics(read(spark, sf_dir, "documents"))
     score = learned_score(found, read(spark, sf_dir, "labels"), learned=~fold)
     scored = found.select("doc_id", fold.alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.op04_rules import COLUMNS
+
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: Columns of the input that have the names operators use inside.
-CLASHING = "row key part shard at band block rep comp times tie media before range inside first_doc class_id keep learned _label _hash score rank held_out n_bytes n_tokens ids bands shingles text_hash".split()
+CLASHING = "row key part shard at band block rep comp times tie media before range inside first_doc class_id keep learned _label _hash _kept_id _kept_hash kept_id kept_hash id hash copy copies its _text chars score rank held_out n_bytes n_tokens ids bands shingles text_hash tensors deltas feature".split()
+CLASHING += COLUMNS
 
 #: Null id, null and empty texts, repeated rows and ids, ties, white space, odd characters, one long text.
 ODD = [
@@ -35,6 +38,19 @@ def no_docs(spark):
     return odd_docs(spark, [])
 
 
+def same_rows_left(kept, docs):
+    """Every row kept is a row of ``docs``, in all columns."""
+    assert kept.schema == docs.schema
+    return not counted(kept.collect()) - counted(docs.collect())
+
+
+def tables_of(path, **frames):
+    """A folder of tables for registered queries."""
+    for name, df in frames.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
 _TOKENIZERS = {}
 
 

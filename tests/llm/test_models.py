@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
-from cases import ODD, documents, held_out, no_docs, odd_docs  # noqa: E402
+from cases import ODD, counted, documents, held_out, no_docs, odd_docs, same_rows_left  # noqa: E402
 
 from tessera.llm import op04_rules, op08_language, registry  # noqa: E402
 from tessera.llm.shared import held_out_fold  # noqa: E402
@@ -51,7 +51,7 @@ def test_quality_keeps_columns_and_odd_rows(spark):
     docs = odd_docs(spark)
     labels = small_labels(spark, docs).unionByName(spark.createDataFrame([(99, 1), (1, None), (None, 1)], "doc_id long, quality int"))
     kept = op04_rules.good_documents(docs, labels)
-    assert kept.schema == docs.schema and 0 < kept.count() <= len(ODD)
+    assert same_rows_left(kept, docs) and 0 < kept.count() <= len(ODD)
     assert op04_rules.good_documents(no_docs(spark), labels).count() == 0
     # labels of one kind, and none
     ones = spark.createDataFrame([(1, 1), (4, 1)], "doc_id long, quality int")
@@ -160,7 +160,24 @@ def test_language_of_odd_rows(spark):
     nothing = op08_language.learn(no_docs(spark))
     assert {r["lang_pred"] for r in op08_language.identify(odd_docs(spark), nothing).collect()} == {"und"}
     kept = op08_language.in_one_language(odd_docs(spark), model, 0.5)
-    assert kept.schema == odd_docs(spark).schema and {2, 3, 7}.isdisjoint(r["doc_id"] for r in kept.collect())
+    assert same_rows_left(kept, odd_docs(spark)) and {2, 3, 7}.isdisjoint(r["doc_id"] for r in kept.collect())
+
+
+def test_letters_of_every_plane_and_many_languages(spark):
+    high = chr(0x32100) * 4
+    rows = [(i, f"{chr(0x4E00 + 7 * i) * 6}", f"l{i:03}") for i in range(300)] + [(999, high, "high")]
+    model = op08_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 301
+    found, share, *_ = op08_language.predict([high, rows[290][1], rows[3][1], "12"], model)
+    assert found == ["high", "l290", "l003", "und"] and share.tolist() == [1, 1, 1, 0]
+
+
+def test_equal_ids_with_several_texts_are_learned_from_alike(spark):
+    docs = made_docs(spark)
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" MORE!!"))))
+    labels = small_labels(spark, docs)
+    kept = [counted(r[:2] for r in op04_rules.good_documents(x, labels).select("doc_id", "text").collect()) for x in (twice, twice.repartition(7, "text"), twice.orderBy(F.desc("text")))]
+    assert kept[0] == kept[1] == kept[2]
 
 
 def test_held_out_texts_are_not_learned(spark):

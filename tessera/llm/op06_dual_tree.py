@@ -1,15 +1,18 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Candidates are placed in cells around pivots (chosen from a bounded sample) and cells are split into
-blocks of about ``BLOCK`` vectors; queries into groups of about ``GROUP``. Each block and group gets
-a cover tree: a node covers its points with balls of half its radius around some of them, down to
-leaves. Query and data trees are searched together. A pair of nodes is left out if even the
-largest inner product their centres and radii allow, q.d + r_q |d| + r_d |q| + r_q r_d, stays below
-the worst k-th score of the queries in the query node. Each group first searches the block with the
-largest bound, which gives every query a k-th score to beat; then come all blocks whose bound
-reaches the group's worst k-th score, so the result is exact. Pruning depends on the data: where
-all vectors are about equally far apart, it leaves out little, and the work is that of comparing
-the queries with all rows, in blocks.
+Candidates are placed in cells around pivots (chosen from a bounded sample). A cell of more than
+``BLOCK`` vectors is split around pivots of its own, and so on, so cells stay small and local however
+many rows there are; only a cell of equal vectors is cut by a hash instead. Cells become blocks of
+candidates and groups of about ``GROUP`` queries. Each block and group gets a cover tree: a node
+covers its points with balls of half its radius around some of them, down to leaves. Query and data
+trees are searched together. A pair of nodes is left out if even the largest inner product their
+centres and radii allow, q.d + r_q |d| + r_d |q| + r_q r_d, stays below the worst k-th score of the
+queries in the query node. Each group descends to the blocks with the largest bounds in the region (a
+first-level cell) with the largest bound and searches as many as hold k rows, which gives every query
+a k-th score to beat; then it meets the regions whose bound reaches the group's worst k-th score and, of their
+blocks, those whose bound does, so the result is exact and pairs that bounds rule out are not
+written anywhere. Pruning depends on the data: where all vectors are about equally far apart, it
+leaves out little, and the work is that of comparing the queries with all rows, in blocks.
 
 Scores are exact up to 2**53. Defined results: vectors that are null or hold null or non-finite
 components, and rows without an id, take no part; shorter vectors count as padded with zeros;
@@ -32,7 +35,8 @@ from .shared import arrow_of, read, stored
 BLOCK, GROUP = 4096, 256
 LEAF, MOST_CHILDREN = 64, 64
 PIVOTS, SAMPLE = 64, 2048
-SHARDS = 32
+CELL_SAMPLE = 256  # rows, about, that a crowded cell's pivots are chosen from
+LEVELS = 9  # 64 ** 9 cells; their codes fit a long
 
 
 class CoverTree:
@@ -89,8 +93,10 @@ class CoverTree:
         del self.order, self.placed
 
 
-def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k best of ``data`` for each query, without what lies below ``floor``."""
+def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None, met: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the k best of ``data`` for each query, without what lies below ``floor``.
+
+    ``met`` takes the number of pairs of points in each pair of leaves that was compared."""
     n = len(queries.ids)
     top = np.full((n, k), -np.inf)
     worst = np.full(n, -np.inf) if floor is None else floor.astype(float)
@@ -101,7 +107,7 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray |
         high = data.centres[ds] @ queries.centres[q] + rq * data.norms[ds] + rd * nq + rq * rd
         return high + 1e-9 * np.abs(high) + 1e-6
 
-    radius = np.array(data.radius)
+    radius, lengths = np.array(data.radius), np.sqrt((queries.points**2).sum(axis=1))
     waiting = [(0, 0)] if n and len(data.ids) else []
     while waiting:
         q, d = waiting.pop()
@@ -117,15 +123,22 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray |
             waiting += [(q, int(c)) for c, h in sorted(zip(below, high, strict=True), key=lambda x: x[1]) if h >= worst[a:z].min()]
         else:
             b, y = data.first[d], data.stop[d]
-            scores = queries.points[a:z] @ data.points[b:y].T
-            scores[queries.ids[a:z, None] == data.ids[None, b:y]] = -np.inf
-            row, col = np.nonzero((scores >= worst[a:z, None]) & (scores > -np.inf))
+            # of the leaf's queries, those that the data node can still serve
+            high = queries.points[a:z] @ data.centres[d] + radius[d] * lengths[a:z]
+            alive = a + np.flatnonzero(high + 1e-9 * np.abs(high) + 1e-6 >= worst[a:z])
+            if not len(alive):
+                continue
+            if met is not None:
+                met.append(len(alive) * (y - b))
+            scores = queries.points[alive] @ data.points[b:y].T
+            scores[queries.ids[alive, None] == data.ids[None, b:y]] = -np.inf
+            row, col = np.nonzero((scores >= worst[alive, None]) & (scores > -np.inf))
             if not len(row):
                 continue
-            found.append((a + row, data.ids[b + col], scores[row, col]))
-            both = np.concatenate([top[a:z], scores], axis=1)
-            top[a:z] = -np.partition(-both, k - 1, axis=1)[:, :k]
-            worst[a:z] = np.maximum(worst[a:z], top[a:z].min(axis=1))
+            found.append((alive[row], data.ids[b + col], scores[row, col]))
+            both = np.concatenate([top[alive], scores], axis=1)
+            top[alive] = -np.partition(-both, k - 1, axis=1)[:, :k]
+            worst[alive] = np.maximum(worst[alive], top[alive].min(axis=1))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     row, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -164,38 +177,75 @@ def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
-def in_cells(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    ddl = "vec_id long, v array<double>, cell int"
+def nearest_pivot(column: pa.Array | pa.ChunkedArray, pivots: np.ndarray) -> np.ndarray:
+    return (matrix(column, pivots.shape[1]) @ pivots.T - (pivots**2).sum(axis=1) / 2).argmax(axis=1)
+
+
+def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with the cell of the nearest pivot. A cell's code is PIVOTS times (its parent's + 1), plus its place."""
+    ddl = "vec_id long, v array<double>, cell long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (pivots**2).sum(axis=1) / 2
         for b in batches:
-            cell = (matrix(b.column("v"), width) @ pivots.T - half).argmax(axis=1)
-            yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32))], schema=arrow_of(ddl))
+            yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(PIVOTS + nearest_pivot(b.column("v"), pivots))], schema=arrow_of(ddl))
 
     return rows.mapInArrow(run, ddl)
 
 
+def split_cells(placed: DataFrame, width: int, most: int) -> DataFrame:
+    """Cells of more than ``most`` rows split around pivots of their own, level by level.
+
+    A cell's pivots come from about CELL_SAMPLE of its rows; its rows are dealt in parts of about
+    ``most``, each with a copy of the pivots."""
+    pivot_ddl, row_ddl = "cell long, parts long, pivots array<double>, k long", "vec_id long, v array<double>, cell long"
+
+    def choose(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        chosen = choose_pivots(matrix(table.column("v"), width), min(PIVOTS, 2 * -(-n // most)))
+        return pa.table([[table.column("cell")[0].as_py()], [-(-n // most)], [chosen.ravel().tolist()], [len(chosen)]], schema=arrow_of(pivot_ddl))
+
+    def assign(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return arrow_of(row_ddl).empty_table()
+        chosen = np.array(pivots.column("pivots")[0].as_py()).reshape(-1, width)
+        cell = (rows.column("cell").to_numpy() + 1) * PIVOTS + nearest_pivot(rows.column("v"), chosen)
+        return pa.table([rows.column("vec_id"), rows.column("v"), pa.array(cell)], schema=arrow_of(row_ddl))
+
+    for level in range(1, LEVELS):
+        crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        if not crowded.limit(1).count():
+            break
+        met = placed.join(crowded, "cell").where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("n") / CELL_SAMPLE))) == 0)
+        pivots = stored(met.select("cell", "n", "v").groupBy("cell").applyInArrow(choose, pivot_ddl), "pivots").where("k > 1")
+        if not pivots.limit(1).count():
+            break
+        moving = placed.join(pivots.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).drop("parts")
+        copies = pivots.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pivots")
+        moved = moving.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInArrow(assign, row_ddl)
+        placed = stored(placed.join(pivots.select("cell"), "cell", "left_anti").select("vec_id", "v", "cell").unionByName(moved), "placed")
+    return placed
+
+
 def trees(placed: DataFrame, size: int, width: int) -> DataFrame:
-    """place, n, centre, radius, norm and the pickled tree of each block of at most about ``size`` points."""
-    ddl = "place long, n long, centre array<double>, radius double, norm double, tree binary"
-    parts = {r["cell"]: -(-r["n"] // size) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}  # at most PIVOTS rows
-    if not parts:
-        return placed.sparkSession.createDataFrame([], ddl)
-    pieces = F.element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("cell"))
-    place = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), pieces)
+    """place, region, n, centre, radius, norm and the pickled tree of each block of at most about ``size`` points."""
+    ddl = "place string, region long, n long, centre array<double>, radius double, norm double, tree binary"
+    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(size))).alias("pieces"))
+    dealt = placed.join(counts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "pieces").alias("piece"), "vec_id", "v")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        tree = CoverTree(table.column("vec_id").to_numpy(), matrix(table.column("v"), width))
-        row = (key[0].as_py(), len(tree.ids), tree.centres[0].tolist(), tree.radius[0], float(tree.norms[0]), pickle.dumps(tree))
+        cell, piece = (x.as_py() for x in key)
+        tree, region = CoverTree(table.column("vec_id").to_numpy(), matrix(table.column("v"), width)), cell
+        while region >= 2 * PIVOTS:
+            region = region // PIVOTS - 1
+        row = (f"{cell}:{piece}", region, len(tree.ids), tree.centres[0].tolist(), tree.radius[0], float(tree.norms[0]), pickle.dumps(tree))
         return pa.table([pa.array([x], t) for x, t in zip(row, arrow_of(ddl).types, strict=True)], schema=arrow_of(ddl))
 
-    return stored(placed.select(place.alias("place"), "vec_id", "v").groupBy("place").applyInArrow(build, ddl), "trees")
+    return stored(dealt.groupBy("cell", "piece").applyInArrow(build, ddl), "trees")
 
 
 def search(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """The k best of each pair's block for each query of its group; ``floors`` holds k-th scores known so far."""
-    ddl = "grp long, query_id long, vec_id long, score long"
+    ddl = "grp string, query_id long, vec_id long, score long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +256,7 @@ def search(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, k: int) -> Da
                     best = dict(known)
                     floor = np.array([best.get(int(q), -np.inf) for q in queries.ids])
                 q, d, s = dual_search(queries, pickle.loads(data), k, floor)
-                yield pa.record_batch([pa.array([grp] * len(q), pa.int64()), pa.array(q), pa.array(d), pa.array(s.astype(np.int64))], schema=arrow_of(ddl))
+                yield pa.record_batch([pa.array([grp] * len(q), pa.string()), pa.array(q), pa.array(d), pa.array(s.astype(np.int64))], schema=arrow_of(ddl))
 
     joined = pairs.join(groups.select(F.col("place").alias("grp"), F.col("tree").alias("query_tree")), "grp")
     joined = joined.join(blocks.select(F.col("place").alias("block"), F.col("tree").alias("data_tree")), "block")
@@ -225,23 +275,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_
     pivots = choose_pivots(np.array([x + [0.0] * (width - len(x)) for x in sample]).reshape(len(sample), width), PIVOTS)
     if not len(pivots):
         pivots = np.zeros((1, width))
-    placed = stored(in_cells(rows, pivots, width), "placed")
+    placed = split_cells(stored(in_cells(rows, pivots), "placed"), width, BLOCK)
     blocks, groups = trees(placed, BLOCK, width), trees(placed.where(is_query), GROUP, width)
-    # every group meets every block's summary, dealt over shards: the stated queries against all rows, in blocks
-    left = groups.select(F.col("place").alias("grp"), F.col("centre").alias("q"), F.col("radius").alias("rq"), F.col("norm").alias("nq"), F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"))
-    right = blocks.select(F.col("place").alias("block"), F.col("centre").alias("d"), F.col("radius").alias("rd"), F.col("norm").alias("nd"), F.pmod(F.xxhash64("place"), F.lit(SHARDS)).cast("int").alias("shard"))
+    summaries = blocks.select(F.col("place").alias("block"), "region", "n", F.col("centre").alias("d"), F.col("radius").alias("rd"), F.col("norm").alias("nd"))
+    # a region is a ball around one of its blocks' centres; there are at most PIVOTS of them
+    heart = summaries.groupBy("region").agg(F.min_by("d", "block").alias("c"))
+    away = F.sqrt(F.aggregate(F.zip_with("d", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)) + F.col("rd")
+    regions = summaries.join(F.broadcast(heart), "region").groupBy("region").agg(F.first("c").alias("d"), (F.max(away) * (1 + 1e-9)).alias("rd")).withColumn("nd", F.sqrt(_dot("d", "d")))
+    left = groups.select(F.col("place").alias("grp"), F.col("centre").alias("q"), F.col("radius").alias("rq"), F.col("norm").alias("nq"))
     high = _dot("q", "d") + F.col("rq") * F.col("nd") + F.col("rd") * F.col("nq") + F.col("rq") * F.col("rd")
-    bounds = stored(left.join(right, "shard").select("grp", "block", high.alias("high")), "bounds")
-    ranked = bounds.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("high"), "block")))
+    high = high + F.abs(high) * 1e-9 + 1e-6
+    # every group meets the few regions: the stated queries against all rows, by their summaries
+    all_regions = regions.agg(F.collect_list(F.struct("region", "d", "rd", "nd")).alias("all"))
+    bounds = stored(left.join(F.broadcast(all_regions)).select("*", F.explode("all").alias("r")).select("grp", "q", "rq", "nq", "r.*").select("grp", "q", "rq", "nq", "region", high.alias("region_high")), "bounds")
+    nearest = bounds.groupBy("grp").agg(F.max_by(F.struct("region", "q", "rq", "nq"), F.struct("region_high", "region")).alias("m")).select("grp", "m.*")
+    # as many blocks as hold k others than a query itself
+    order = Window.partitionBy("grp").orderBy(F.desc("high"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    best = nearest.join(summaries, "region").select("grp", "block", "n", high.alias("high")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") <= k)
     kind = "array<struct<query_id:bigint,score:double>>"
-    seeds = stored(ranked.where("place = 1").select("grp", "block", F.lit(None).cast(kind).alias("floors")), "seeds")
+    seeds = stored(best.select("grp", "block", F.lit(None).cast(kind).alias("floors")), "seeds")
     first = stored(search(seeds, groups, blocks, k), "first")
-    kth = first.groupBy("grp", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
+    kth = first.groupBy("grp", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("grp", "query_id", F.element_at("s", k).alias("score"))
     # a group has about GROUP queries, so its list is short
     known = kth.groupBy("grp").agg(F.collect_list(F.struct("query_id", F.col("score").cast("double").alias("score"))).alias("floors"), F.count("*").alias("n"), F.min("score").alias("low"))
     worst = groups.select(F.col("place").alias("grp"), F.col("n").alias("queries")).join(known, "grp", "left").select("grp", "floors", F.when(F.col("n") == F.col("queries"), F.col("low")).alias("low"))
-    more = bounds.join(seeds.select("grp", "block"), ["grp", "block"], "left_anti").join(worst, "grp")
-    more = more.where(F.col("low").isNull() | (F.col("high") + F.abs("high") * 1e-9 + 1e-6 >= F.col("low"))).select("grp", "block", "floors")
+    reached = bounds.join(worst, "grp").where(F.col("low").isNull() | (F.col("region_high") >= F.col("low")))
+    more = reached.join(summaries, "region").where(F.col("low").isNull() | (high >= F.col("low"))).select("grp", "block", "floors").join(seeds.select("grp", "block"), ["grp", "block"], "left_anti")
     found = first.unionByName(search(more, groups, blocks, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

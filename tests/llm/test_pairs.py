@@ -160,14 +160,35 @@ def test_top_k_over_many_blocks_and_equal_vectors(spark, monkeypatch):
     assert counted(op06_dual_tree.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()) == brute_top_k(rows, 20)
 
 
-@pytest.mark.parametrize("spread", [0.01, 1.0])
-def test_dual_search_is_exact_and_prunes(spread, monkeypatch):
+def test_crowded_cells_are_split_around_their_own_pivots(spark, monkeypatch):
+    """Clusters within a cluster end up in different cells, and groups search few of the blocks."""
+    for name, value in (("BLOCK", 40), ("GROUP", 20), ("PIVOTS", 4), ("CELL_SAMPLE", 64)):
+        monkeypatch.setattr(op06_dual_tree, name, value)
+    r = np.random.default_rng(6)
+    near = [np.eye(8)[i % 3] * 50 + r.normal(0, 2, 8) for i in range(12)]
+    rows = [(i, (near[i % 12] + r.normal(0, 0.02, 8)).tolist()) for i in range(960)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    searched, keep = [], op06_dual_tree.search
+    monkeypatch.setattr(op06_dual_tree, "search", lambda pairs, groups, blocks, k: searched.append((pairs.count(), groups.count() * blocks.count())) or keep(pairs, groups, blocks, k))
+    assert counted(op06_dual_tree.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()) == brute_top_k(rows, 20)
+    assert sum(n for n, _ in searched) < 0.5 * searched[0][1], searched
+    placed = op06_dual_tree.split_cells(op06_dual_tree.in_cells(op06_dual_tree.integer_vectors(vectors, 64, "vec_id", "embedding"), np.zeros((1, 8))), 8, 40)
+    cells = defaultdict(set)
+    for x in placed.collect():
+        cells[x["cell"]].add(x["vec_id"] % 12)
+    assert len(cells) >= 12 and sum(len(c) == 1 for c in cells.values()) >= 0.8 * len(cells)
+
+
+@pytest.mark.parametrize("spread,share", [(0.01, 0.2), (1.0, 0.9)])
+def test_dual_search_is_exact_and_prunes(spread, share):
     r = np.random.default_rng(7)
     centres = r.normal(0, 10, (12, 6))
     points = np.floor(64 * (centres[r.integers(0, 12, 3000)] + r.normal(0, spread, (3000, 6))))
     ids = r.permutation(3000)
     data, queries = op06_dual_tree.CoverTree(ids, points), op06_dual_tree.CoverTree(ids[:200], points[:200])
-    q, d, s = op06_dual_tree.dual_search(queries, data, 10)
+    met = []
+    q, d, s = op06_dual_tree.dual_search(queries, data, 10, met=met)
+    assert sum(met) < share * 200 * 3000
     scores = points[:200] @ points.T
     for i in range(200):
         order = sorted((-x, j) for x, j in zip(scores[i], ids, strict=True) if j != ids[i])[:10]

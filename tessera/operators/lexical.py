@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
+from ..functions.text import terms
+from .sizes import materialized, small
 from .text import tokenize
 
 K1, B = 1.2, 0.75
@@ -21,22 +22,33 @@ def doc_freq(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """question_id, doc_id, score for all pairs that share a term.
+def weighted_postings(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, part: what each posting adds to a BM25 score; with ``words`` (term), only of these terms.
 
-    Only postings of question terms are kept before anything else is joined."""
-    asked = tokenize(questions, "question_id").select("question_id", "term").distinct()
-    words = asked.select("term").distinct()
-    tokens = tokenize(docs).select("doc_id", "term")
-    lengths = docs.select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("long").alias("dl"))
-    lengths = lengths.where("dl > 0")
-    corpus = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.avg("dl").alias("avgdl")))  # one row each
-    kept = tokens.join(small(words), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    The texts are read and cut once. What is kept of them, with a row without a term for each
+    document, is written; document frequencies, the number of documents and their mean length all
+    come from that. Null texts count as documents without words."""
+    tokens = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.greatest(F.size("t"), F.lit(0)).cast("long").alias("dl"), F.explode(F.concat(F.coalesce("t", F.array()), F.array(F.lit(None).cast("string")))).alias("term"))
+    if words is not None:
+        asked = words.select("term").unionByName(words.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "word")
+        tokens = tokens.join(small(asked), F.col("term").eqNullSafe(F.col("word")), "left_semi")
+    kept = materialized(tokens.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")))
+    corpus = kept.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl") > 0, F.col("tf")))).alias("avgdl"))  # one row
+    found = kept.where("term is not null")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = doc_freq(kept).crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
+    weights = doc_freq(found).crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = kept.join(lengths, "doc_id").join(weights, "term").select("doc_id", "term", part.alias("part"))
-    return scored.join(small(asked), "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return found.join(weights if words is None else small(weights), "term").select("term", "doc_id", part.alias("part"))
+
+
+def bm25_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """question_id, doc_id, score for all pairs that share a term.
+
+    Only postings of question terms are kept before anything else is joined. Null and empty questions
+    have no terms and so no rows."""
+    asked = materialized(tokenize(questions, "question_id").select("question_id", "term").distinct())
+    parts = weighted_postings(docs, asked.select("term").distinct())
+    return parts.join(small(asked), "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def best(scores: DataFrame, k: int, group: str = "question_id", item: str = "doc_id") -> DataFrame:

@@ -18,9 +18,11 @@ def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir, which all executors share; a folder of our own only on a local master, where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _FALLBACK:
             _FALLBACK.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _FALLBACK[0]

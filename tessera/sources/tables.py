@@ -30,5 +30,7 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str =
 
 
 def stream(spark: SparkSession, folder: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """The table as a stream of the files in its folder, or of the one file."""
-    return spark.readStream.schema(schema or SCHEMAS[name]).parquet(f"{folder}/{name}.parquet*")
+    """The table as a stream of the files in its folder, or of the one file.
+
+    A file source needs a pattern to take a single file; this one fits the exact name only."""
+    return spark.readStream.schema(schema or SCHEMAS[name]).parquet(f"{folder}/{name}.parque[t]")

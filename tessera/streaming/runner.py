@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..operators.sizes import scratch
 
 
-def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda batch: batch, arrivals: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
     """Rows the stream has written when its sources are used up.
 
     append and update write each batch once, whatever is retried; complete keeps the last batch only.
-    ``each`` makes of a batch what is written."""
+    ``each`` makes of a batch what is written. The stream runs after each of ``arrivals``, going on
+    from its checkpoint, so these can add to its sources."""
     spark = stream.sparkSession
     base = f"{scratch(spark)}/tessera/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{base}/out/{'all' if mode == 'complete' else f'batch={number}'}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.lastProgress is None:
+    ran = False
+    for arrive in arrivals:
+        arrive()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
+        query.awaitTermination()
+        ran = ran or query.lastProgress is not None
+    if not ran:
         return each(spark.createDataFrame([], stream.schema))
     path = f"{base}/out/all" if mode == "complete" else f"{base}/out"
     return spark.read.parquet(path).drop("batch")

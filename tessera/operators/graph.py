@@ -1,14 +1,21 @@
-"""Graphs as edge tables (src, dst); iterations are joins, with each round's table written and read back."""
+"""Graphs as edge tables (src, dst); iterations are joins, with each round's table written and read back.
+
+Rows with a null end are no edges, repeated edges count once and loops not at all (but in ``pagerank``,
+which keeps loops as arcs). Labels of a hub's neighbours are summed up before they are sent on; the
+joins at a hub are plain inner joins, whose large partitions Spark's adaptive execution splits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from .lexical import doc_freq, postings
 from .sizes import materialized, small
-from .text import chunk, links, tokenize
+from .text import chunk, links
 from .vector import knn
 
 
@@ -24,11 +31,13 @@ def edges_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def edges_cooccur(docs: DataFrame, reach: int = 2) -> DataFrame:
-    """Terms up to ``reach`` words apart in a document; weight counts the meetings. Linear in the text."""
-    words = tokenize(docs)
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    ahead = words.select("term", F.array(*[F.lead("term", i).over(order) for i in range(1, reach + 1)]).alias("after"))
-    pairs = ahead.select("term", F.explode("after").alias("other")).where(F.col("other").isNotNull() & (F.col("term") != F.col("other")))
+    """Terms up to ``reach`` words apart in a text; weight counts the meetings. Linear in the text.
+
+    Pairs are made within the row, so the only shuffle is that of their counts."""
+    found = docs.select(terms(F.col("text")).alias("t"))
+    shifted = [F.when(F.size("t") > i, F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - i).alias("term"), F.slice("t", F.lit(1 + i), F.size("t") - i).alias("other"))) for i in range(1, reach + 1)]
+    none = F.expr("array()").cast("array<struct<term:string,other:string>>")
+    pairs = found.select(F.explode(F.concat(*(F.coalesce(x.cast("array<struct<term:string,other:string>>"), none) for x in shifted))).alias("p")).select("p.term", "p.other").where("term != other")
     return pairs.groupBy(F.least("term", "other").alias("src"), F.greatest("term", "other").alias("dst")).agg(F.count("*").alias("weight"))
 
 
@@ -51,14 +60,15 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """node, hop: nodes within ``hops`` steps of a seed, with the least number of steps."""
+def khop(edges: DataFrame, seeds: DataFrame, hops: int, by: Sequence[str] = ()) -> DataFrame:
+    """node, hop: nodes within ``hops`` steps of a seed, with the least number of steps; with ``by``, of each group of seeds by itself."""
+    keys = [*by, "node"]
     steps = materialized(both_ways(edges))
-    reached = materialized(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
+    reached = materialized(seeds.select(*keys).where(F.col("node").isNotNull()).distinct().withColumn("hop", F.lit(0)))
     front = reached
     for hop in range(1, hops + 1):
-        near = steps.join(small(front.select("node")), F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = materialized(near.join(reached, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        near = steps.join(small(front.select(*by, F.col("node").alias("at"))), F.col("src") == F.col("at")).select(*by, F.col("dst").alias("node")).distinct()
+        front = materialized(near.join(reached, keys, "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached
 
@@ -129,9 +139,21 @@ def entities(docs: DataFrame, top: int = 3, size: int = 500, stride: int = 400)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def community_summary(labels: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
-    """Stand-in for a model's summary: size and the ``top`` nodes by degree of each community."""
+def community_summary(labels: DataFrame, edges: DataFrame, texts: DataFrame, top: int = 3, top_terms: int = 5) -> DataFrame:
+    """Stand-in for a model's summary of each community: its size, the ``top`` nodes by degree, the
+    ``top_terms`` most frequent terms of its texts, and the chunk that holds most of these.
+
+    ``texts`` has node, doc_id and text for the nodes that have one; a community without any has nulls.
+    Ties go to the smaller node or term, and to the earlier chunk of the smaller doc_id."""
     ranked = labels.join(degree(edges), "node")
     order = Window.partitionBy("community").orderBy(F.desc("degree"), "node")
     heads = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "node"))), lambda x: x["node"]), ",").alias("top_nodes"))
-    return labels.groupBy("community").agg(F.count("*").alias("size")).join(heads, "community")
+    told = materialized(labels.join(texts, "node").select("community", "doc_id", "text"))
+    counts = told.select("community", F.explode(terms(F.col("text"))).alias("term")).groupBy("community", "term").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("community").orderBy(F.desc("n"), "term")
+    common = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_terms).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("common"))
+    pieces = chunk(told.select(F.struct("community", "doc_id").alias("doc_id"), "text")).select("doc_id.community", "doc_id.doc_id", "chunk_no", "text").join(common, "community")
+    shared = F.size(F.array_intersect("common", terms(F.col("text"))))
+    first = pieces.groupBy("community").agg(F.min_by("text", F.struct(-shared, "doc_id", "chunk_no")).alias("representative"))
+    sizes = labels.groupBy("community").agg(F.count("*").alias("size"))
+    return sizes.join(heads, "community").join(common.select("community", F.array_join("common", ",").alias("top_terms")), "community", "left").join(first, "community", "left")

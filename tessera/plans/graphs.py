@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, qa
+from ..operators.lexical import best, bm25_topk
+from ..operators.sizes import materialized
+from ..operators.text import pages_text
+from ..operators.vector import knn
 from ..sources import load
+from .retrieval import BARE, BM25, DOT, QUESTIONS, WORDS, bm25
 
 EDGES = r"""edges AS (SELECT DISTINCT 'p' || page_id AS src, 'l' || link AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]*)"', 1)) AS link FROM pages)),
 both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-SEEDS = 7  # pages whose id is divisible by this start the walks
+#: Walks start from the English pages.
+SEEDS = "url LIKE '%://%/en/%'"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").where(F.col("page_id") % SEEDS == 0).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"))
+    return load(spark, sf_dir, "pages").where(SEEDS).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"))
 
 
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +66,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles among terms at most two words apart in one turn of each conversation, the smallest text, as its SQL has it.
-
-    ``turn_triangles`` reads all turns."""
-    return graph.triangles(graph.edges_cooccur(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text").groupBy("doc_id").agg(F.min("text").alias("text")), 2))
-
-
-def turn_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles among terms at most two words apart in any turn."""
-    turns = load(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
-    return graph.triangles(graph.edges_cooccur(turns))
+    """Triangles among terms at most two words apart in any turn of a conversation."""
+    return graph.triangles(graph.edges_cooccur(load(spark, sf_dir, "conversations")))
 
 
 def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +76,44 @@ def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
-    return graph.community_summary(graph.communities(edges), edges)
+    texts = pages_text(load(spark, sf_dir, "pages")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"), F.col("page_id").alias("doc_id"), "text")
+    return graph.community_summary(graph.communities(edges), edges, texts)
+
+
+def hit_edges(vectors: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """Edges from the vectors of what was retrieved (doc_id) to their nearest ones."""
+    asked = vectors.join(hits.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    return graph.edges_knn(asked, vectors, k)
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa.graph_expand(_seeds(spark, sf_dir), _edges(spark, sf_dir), 1)
+    """Each question's BM25 hits and their neighbours among the vectors of the same numbers."""
+    hits = materialized(bm25(spark, sf_dir))
+    return qa.graph_expand(hits.select("question_id", F.col("doc_id").alias("node")), hit_edges(load(spark, sf_dir, "embeddings"), hits), 1)
+
+
+def hybrid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question answering from end to end: BM25, vector neighbours of the best hit and graph
+    expansion of all hits, fused, packed into a context, and answered by its best sentence.
+
+    No model gives questions a vector here, so that of the best document stands for it; documents and
+    vectors meet by number."""
+    docs, vectors = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
+    questions = qa.first_questions(load(spark, sf_dir, "conversations"))
+    words = materialized(bm25_topk(questions, docs, 5))
+    heads = words.where("rank = 1").select("question_id", F.col("doc_id").alias("head"))
+    asked = vectors.join(heads.select(F.col("head").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    near = knn(asked, vectors, 5).join(heads, F.col("query_id") == F.col("head")).select("question_id", "rank", F.col("vec_id").alias("doc_id"))
+    hits = materialized(words.select("question_id", "rank", "doc_id").unionByName(near))
+    walked = qa.graph_expand(hits.select("question_id", F.col("doc_id").alias("node")), hit_edges(vectors, hits), 1)
+    order = Window.partitionBy("question_id").orderBy("hop", "node")
+    around = walked.select("question_id", F.row_number().over(order).alias("rank"), F.col("node").alias("doc_id"))
+    fused = qa.fuse([words, near, around])
+    ranked = best(fused, 20).join(docs.select("doc_id", "n_chars", "text"), "doc_id")
+    packed = qa.pack_context(ranked, 6000)
+    context = packed.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("context"), F.count("*").alias("sources"))
+    answered = qa.answer(context.join(questions.withColumnRenamed("text", "question"), "question_id"))
+    return answered.select("question_id", "sources", F.md5("context").alias("context_digest"), "answer")
 
 
 def _vote(i: int) -> str:
@@ -117,21 +148,53 @@ CHUNK_COOCCUR = f"""WITH pieces AS (SELECT doc_id || '#' || c AS chunk, substr(t
 t AS (SELECT DISTINCT chunk, unnest({TERMS}) AS term FROM pieces)
 SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM t a JOIN t b ON a.chunk = b.chunk AND a.term < b.term GROUP BY ALL"""
 
+TRIANGLES = f"WITH docs AS (SELECT conv_id || '#' || turn AS doc_id, text FROM conversations), {_cooccur('docs')} SELECT count(*) AS triangles FROM cooccur x JOIN cooccur y ON x.dst = y.src JOIN cooccur z ON z.src = x.src AND z.dst = y.dst"
+
+SUMMARIES = f"""WITH {EDGES}, {LABELS}, d AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src),
+r AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS r FROM l3 JOIN d USING (node)),
+heads AS (SELECT community, count(*) AS size, string_agg(CASE WHEN r <= 3 THEN node END, ',' ORDER BY r) AS top_nodes FROM r GROUP BY community),
+told AS (SELECT community, page_id, text FROM (SELECT page_id, {BARE} AS text FROM pages) JOIN l3 ON node = 'p' || page_id),
+counts AS (SELECT community, term, count(*) AS n FROM (SELECT community, unnest({TERMS}) AS term FROM told) GROUP BY ALL),
+common AS (SELECT community, list(term ORDER BY n DESC, term) AS common FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS k FROM counts) WHERE k <= 5 GROUP BY community),
+pieces AS (SELECT community, page_id, c, substr(text, c * 400 + 1, 500) AS text FROM (SELECT *, unnest(range(greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) AS c FROM told WHERE length(text) > 0)),
+first AS (SELECT community, arg_min(text, (-len(list_intersect(common, {TERMS})), page_id, c)) AS representative FROM pieces JOIN common USING (community) GROUP BY community)
+SELECT community, size, top_nodes, array_to_string(common, ',') AS top_terms, representative FROM heads LEFT JOIN common USING (community) LEFT JOIN first USING (community)"""
+
+
+def _hit_edges(hits: str) -> str:
+    return f"""sims AS (SELECT q.vec_id AS src, d.vec_id AS dst, round({DOT}, 9) AS score FROM embeddings q JOIN embeddings d ON q.vec_id IN ({hits}) AND q.vec_id <> d.vec_id),
+arcs AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM sims) WHERE r <= 3),
+around AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs)"""
+
+
+HYBRID = rf"""WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25}, words AS (SELECT question_id, rank, doc_id FROM ranked WHERE rank <= 5),
+near AS (SELECT question_id, rank, doc_id FROM (SELECT h.question_id, d.vec_id AS doc_id, row_number() OVER (PARTITION BY h.question_id ORDER BY round({DOT}, 9) DESC, d.vec_id) AS rank
+  FROM words h JOIN embeddings q ON h.rank = 1 AND h.doc_id = q.vec_id JOIN embeddings d ON d.vec_id <> q.vec_id) WHERE rank <= 5),
+hits AS (SELECT * FROM words UNION ALL SELECT * FROM near), h0 AS (SELECT DISTINCT question_id, doc_id AS node FROM hits), {_hit_edges('SELECT node FROM h0')},
+walked AS (SELECT question_id, node, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT question_id, dst, 1 FROM h0 JOIN around ON src = node) GROUP BY ALL),
+rankings AS (SELECT * FROM hits UNION ALL SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY hop, node), node FROM walked),
+fused AS (SELECT question_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM rankings GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM fused),
+packed AS (SELECT * FROM (SELECT question_id, t.rank, text, sum(n_chars) OVER (PARTITION BY question_id ORDER BY t.rank) AS used FROM top t JOIN documents USING (doc_id) WHERE t.rank <= 20) WHERE used <= 6000),
+context AS (SELECT question_id, string_agg(text, chr(10) ORDER BY rank) AS context, count(*) AS sources FROM packed GROUP BY question_id),
+sentences AS (SELECT question_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT question_id, string_split(context, '.') AS s FROM context)),
+judged AS (SELECT question_id, i, s, len(list_intersect({WORDS.format('q.text')}, {WORDS.format('s')})) AS n FROM sentences JOIN questions q USING (question_id))
+SELECT question_id, any_value(sources) AS sources, md5(any_value(context)) AS context_digest, regexp_replace(arg_min(s, (-n, i)), '^\s+|\s+$', '', 'g') AS answer FROM judged JOIN context USING (question_id) GROUP BY question_id"""
+
 QUERIES = {
     "g1_page_edges": (page_edges, f"WITH {EDGES} SELECT * FROM edges"),
     "g2_knn_edges": (knn_edges, "WITH s AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_sum([a[1]::DOUBLE * a[2]::DOUBLE FOR a IN list_zip(q.embedding, d.embedding)]), 9) AS weight FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM s) WHERE r <= 3"),
     "g3_cooccurrence": (cooccurrence, f"WITH {_cooccur('documents')} SELECT * FROM cooccur"),
     "g3_chunk_cooccurrence": (chunk_cooccurrence, CHUNK_COOCCUR),
     "g4_degree": (degrees, f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src"),
-    "g5_khop": (two_hops, f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE page_id % {SEEDS} = 0), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)), h2 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
+    "g5_khop": (two_hops, f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE {SEEDS}), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)), h2 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
     "g6_components": (connected, f"WITH RECURSIVE {EDGES}, reach(node, seen) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src) SELECT node, min(seen) AS component FROM reach GROUP BY node"),
     "g7_pagerank": (ranks, f"WITH {EDGES}, {PAGERANK} SELECT node, round(rank, 9) AS rank FROM r5"),
     "g8_communities": (labels, f"WITH {EDGES}, {LABELS} SELECT * FROM l3"),
-    "g9_triangles": (triangle_count, f"WITH docs AS (SELECT conv_id AS doc_id, min(text) AS text FROM conversations GROUP BY conv_id), {_cooccur('docs')} SELECT count(*) AS triangles FROM cooccur x JOIN cooccur y ON x.dst = y.src JOIN cooccur z ON z.src = x.src AND z.dst = y.dst"),
-    "g9_turn_triangles": (turn_triangles, f"WITH docs AS (SELECT conv_id || '#' || turn AS doc_id, text FROM conversations), {_cooccur('docs')} SELECT count(*) AS triangles FROM cooccur x JOIN cooccur y ON x.dst = y.src JOIN cooccur z ON z.src = x.src AND z.dst = y.dst"),
+    "g9_triangles": (triangle_count, TRIANGLES),
+    "g9_turn_triangles": (triangle_count, TRIANGLES),
     "g10_entities": (chunk_entities, ENTITIES),
-    "g11_community_summary": (summaries, f"""WITH {EDGES}, {LABELS}, d AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src),
-r AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS r FROM l3 JOIN d USING (node))
-SELECT community, count(*) AS size, string_agg(CASE WHEN r <= 3 THEN node END, ',' ORDER BY r) AS top_nodes FROM r GROUP BY community"""),
-    "q4_graph_expand": (expanded, f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE page_id % {SEEDS} = 0), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1) GROUP BY node"),
+    "g11_community_summary": (summaries, SUMMARIES),
+    "q4_graph_expand": (expanded, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25}, h0 AS (SELECT question_id, doc_id AS node FROM ranked WHERE rank <= 5), {_hit_edges('SELECT node AS doc_id FROM h0')}, h1 AS (SELECT question_id, dst AS node FROM h0 JOIN around ON src = node) SELECT question_id, node, min(hop)::INTEGER AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1) GROUP BY ALL"),
+    "q8_hybrid_answers": (hybrid_answers, HYBRID),
 }

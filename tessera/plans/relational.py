@@ -57,7 +57,9 @@ def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def no_orders(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "customer").join(load(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order."""
+    urgent = load(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return load(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def with_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +145,43 @@ def statistics(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.round(F.stddev("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_discount"), 9).alias("var"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"), F.round(F.median("l_extendedprice"), 4).alias("median"), F.count_distinct("l_partkey").alias("parts"))
 
 
+def sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Whether approximate answers lie within their bounds: distinct counts by HyperLogLog, alone and merged, and a percentile's rank."""
+    parts = load(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.hll_sketch_agg("l_partkey").alias("s"), F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("exact"))
+    near = lambda x: (F.abs(x / F.col("exact") - 1) <= 0.1)
+    own = parts.groupBy("l_returnflag").agg(F.every(near(F.hll_sketch_estimate("s")) & near(F.col("a"))).alias("distinct_within"), F.hll_union_agg("s").alias("s"))
+    lines = load(spark, d, "lineitem")
+    whole = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"), F.approx_percentile("l_extendedprice", 0.5, 10000).alias("p"))
+    rank = lines.join(whole.select("l_returnflag", "p"), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("p")).cast("double")).alias("rank"))
+    return own.join(whole, "l_returnflag").join(rank, "l_returnflag").select("l_returnflag", "distinct_within", near(F.hll_sketch_estimate("s")).alias("merged_within"), F.col("rank").between(0.49, 0.51).alias("median_within"))
+
+
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    """Maps made from JSON, changed, filtered and taken apart; the same value through a variant."""
+    doubled = F.transform_values(F.from_json("props", "map<string,bigint>"), lambda k, v: v * 2)
+    large = F.map_filter(doubled, lambda k, v: v >= 100)
+    return load(spark, d, "events").select(
+        "event_id", F.array_join(F.map_keys(doubled), ",").alias("keys"), F.element_at(F.map_values(doubled), 1).alias("doubled"), F.size(large).cast("long").alias("large"),
+        F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), F.map_from_entries(F.array(F.struct(F.col("event_type"), "user_id")))[F.col("event_type")].alias("user"),
+    )
+
+
+def second_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The second largest order of each customer."""
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return load(spark, d, "orders").select("o_custkey", F.nth_value("o_orderkey", 2).over(order).alias("second")).distinct()
+
+
+def common_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as often as both customers and suppliers have them."""
+    both = load(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(load(spark, d, "supplier").select("s_nationkey"))
+    return both.groupBy("k").agg(F.count("*").alias("n"))
+
+
+def middle_parts(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_retailprice").offset(50).limit(25)
+
+
 REVENUE = "round(sum(l_extendedprice * (1 - l_discount)), 2)"
 QUERIES = {
     "r1_pricing": (pricing, f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, {REVENUE} AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"),
@@ -152,7 +191,7 @@ QUERIES = {
     "r5_rollup": (rolled_up, "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus)::INTEGER AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
     "r6_cube": (cubed, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "r7_grouping_sets": (grouping_sets, "SELECT p_brand, p_type, count(*) AS n, max(p_size) AS largest FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())"),
-    "r8_anti_join": (no_orders, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "r8_anti_join": (no_orders, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
     "r9_semi_join": (with_returns, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1"),
     "r10_outer_joins": (outer_counts, "SELECT n_name, rich, sellers FROM nation LEFT JOIN ((SELECT c_nationkey, count(*) AS rich FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS sellers FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) ON c_nationkey = s_nationkey) ON n_nationkey = coalesce(c_nationkey, s_nationkey)"),
     "r11_ranked": (ranked_orders, "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS rn, lag(o_orderkey) OVER w AS before, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn <= 3"),
@@ -168,4 +207,9 @@ QUERIES = {
     "r21_strings": (strings, "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 1, 4) AS head, length(c_name) AS n, reverse(c_name) AS back, lpad(c_custkey::VARCHAR, 8, '0') AS padded, md5(c_name) AS digest FROM customer"),
     "r22_dates": (dates, "SELECT year(o_orderdate)::INTEGER AS y, quarter(o_orderdate)::INTEGER AS q, count(*) AS n, count(DISTINCT dayofweek(o_orderdate)) AS weekdays, max(last_day(o_orderdate::DATE) - o_orderdate::DATE) AS most_left FROM orders GROUP BY 1, 2"),
     "r23_statistics": (statistics, "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_discount), 9) AS var, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(median(l_extendedprice), 4) AS median, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1"),
+    "r24_sketches": (sketches, "SELECT DISTINCT l_returnflag, true AS distinct_within, true AS merged_within, true AS median_within FROM lineitem"),
+    "r25_maps": (maps, "SELECT event_id, 'k' AS keys, 2 * (props->>'k')::BIGINT AS doubled, CASE WHEN 2 * (props->>'k')::BIGINT >= 100 THEN 1 ELSE 0 END::BIGINT AS large, (props->>'k')::BIGINT AS k, user_id AS \"user\" FROM events"),
+    "r26_nth_value": (second_orders, "SELECT DISTINCT o_custkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders"),
+    "r27_intersect_all": (common_nations, "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) GROUP BY k"),
+    "r28_offset": (middle_parts, "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50"),
 }

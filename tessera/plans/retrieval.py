@@ -20,6 +20,7 @@ asked AS (SELECT DISTINCT question_id, unnest({TERMS}) AS term FROM questions),
 scores AS (SELECT question_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
   FROM asked JOIN post USING (term) JOIN df USING (term) JOIN lens USING (doc_id), c GROUP BY ALL),
 ranked AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores)"""
+WORDS = r"[w FOR w IN string_split_regex(lower({}), '\s+') IF w <> '']"
 DOT = "list_sum([a[1]::DOUBLE * a[2]::DOUBLE FOR a IN list_zip(q.embedding, d.embedding)])"
 KNN = f"""sims AS (SELECT q.vec_id AS query_id, d.vec_id, round({DOT}, 9) AS score
   FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)"""
@@ -97,7 +98,7 @@ def turn_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of the same documents: BM25 in all, and in French."""
+    """Two rankings of the same documents: BM25 in all, and in French. ``q8_hybrid_answers`` fuses words, vectors and graph."""
     return qa.fuse([bm25(spark, sf_dir), filtered(spark, sf_dir)])
 
 
@@ -137,6 +138,9 @@ QUERIES = {
 b AS (WITH docs AS (SELECT * FROM documents WHERE lang = 'fr'), {BM25} SELECT * FROM ranked WHERE rank <= 3)
 SELECT question_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL"""),
     "q5_context": (context, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25}, hits AS (SELECT question_id, rank, doc_id, (sum(n_chars) OVER (PARTITION BY question_id ORDER BY rank))::BIGINT AS used FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5) SELECT * FROM hits WHERE used <= 6000"),
-    "q6_answers": (answers, None),
+    "q6_answers": (answers, rf"""WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25},
+sentences AS (SELECT question_id, doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT question_id, doc_id, string_split(text, '.') AS s FROM ranked JOIN documents USING (doc_id) WHERE rank = 1)),
+judged AS (SELECT question_id, doc_id, i, s, len(list_intersect({WORDS.format('q.text')}, {WORDS.format('s')})) AS n FROM sentences JOIN questions q USING (question_id))
+SELECT question_id, doc_id, regexp_replace(arg_min(s, (-n, i)), '^\s+|\s+$', '', 'g') AS answer FROM judged GROUP BY question_id, doc_id"""),
     "q7_session_stats": (stats, "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS \"user\", count(*) FILTER (role = 'assistant') AS assistant, count(*) FILTER (role = 'system') AS system, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id"),
 }

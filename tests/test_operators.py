@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cosine, dot, normalize_ws, page_title, strip_html, terms
-from tessera.operators import graph, lexical, qa, temporal, text, vector
+from tessera.operators import graph, lexical, qa, sizes, temporal, text, vector
 from tessera.plans import graphs
 from tessera.sources import load, save
+from tessera.sources.tables import stream
+from tessera.streaming.runner import drained
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("c", "f")]
 
@@ -100,8 +102,9 @@ def test_pack_context_fits(spark):
 
 
 def test_answer_takes_a_function(spark):
-    df = spark.createDataFrame([("red car", "A dog. The red car stops. End")], "question string, context string")
-    assert qa.answer(df).first()["answer"] == "The red car stops"
+    df = spark.createDataFrame([("red car", "A dog. The red car stops. End"), (None, "One. Two"), ("x", None), ("a b", "b x. a b. a b c")], "question string, context string")
+    assert [r["answer"] for r in qa.answer(df).collect()] == ["The red car stops", "One", "", "a b"]
+    assert qa.answer(df, lambda q, c: F.upper(q)).first()["answer"] == "RED CAR"
 
 
 def test_range_join_at_the_bounds(spark):
@@ -117,9 +120,14 @@ def test_save_and_load(spark, tmp_path):
     assert pairs(back.where("lang = 'en'"), "doc_id") == [(1,), (3,)]
 
 
-def test_filter_and_columns_reach_the_scan(spark, sf):
-    plan = lexical.filtered_retrieval(spark.createDataFrame([(1, "a")], "question_id long, text string"), load(spark, sf, "documents"), lang="fr")._jdf.queryExecution().toString()
-    assert "EqualTo(lang,fr)" in plan and "n_chars" not in plan.split("== Physical Plan ==")[1]
+def test_filter_and_columns_reach_the_scan(spark, sf, monkeypatch):
+    """In the only plan that reads the documents, once."""
+    plans, keep = [], lexical.materialized
+    monkeypatch.setattr(lexical, "materialized", lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df))
+    last = lexical.filtered_retrieval(spark.createDataFrame([(1, "a")], "question_id long, text string"), load(spark, sf, "documents"), lang="fr")
+    (plan,) = [x for x in [*plans, last._jdf.queryExecution().toString()] if "documents.parquet" in x]
+    physical = plan.split("== Physical Plan ==")[1]
+    assert "EqualTo(lang,fr)" in plan and "n_chars" not in physical and physical.count("documents.parquet") == 1
 
 
 def test_chunk_cooccurrence_at_any_distance(spark):
@@ -133,4 +141,63 @@ def test_triangles_of_every_turn(spark, tmp_path):
     """The triangle stands in the turn whose text sorts last, and no edge joins two turns."""
     rows = [(1, 0, "user", "a b"), (1, 1, "assistant", "x y z"), (1, 2, "user", "b c"), (2, 0, "user", "c a")]
     save(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), str(tmp_path / "conversations.parquet"))
-    assert graphs.turn_triangles(spark, str(tmp_path)).first()["triangles"] == 2
+    assert graphs.triangle_count(spark, str(tmp_path)).first()["triangles"] == 2
+
+
+def test_cooccurrence_by_hand(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b"), (3, None), (4, "")], "doc_id long, text string")
+    assert pairs(graph.edges_cooccur(docs), "src", "dst", "weight") == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_broken_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [nan, 1.0]), (4, None), (5, [1.0, None]), (6, [inf, 0.0]), (None, [1.0, 1.0]), (7, [9.0])], "vec_id long, embedding array<double>")
+    assert pairs(vector.knn(v, v, 5), "query_id", "rank", "vec_id") == [(1, 1, 2), (2, 1, 1)]
+    assert pairs(vector.range_search(v, v, -9), "query_id", "vec_id") == [(1, 2), (2, 1)]
+    assert pairs(vector.ann(v, v, 5, width=2), "query_id", "vec_id") in ([(1, 2), (2, 1)], [])
+    assert pairs(vector.centroid(v.where("vec_id < 6").withColumn("label", F.lit(1))), "label", "centroid") == [(1, [0.75, 0.25])]
+
+
+def test_khop_of_groups(spark, edges):
+    seeds = spark.createDataFrame([(1, "a"), (2, "d"), (2, "f"), (3, None), (3, "nowhere")], "question_id long, node string")
+    assert pairs(qa.graph_expand(seeds, edges, 1), "question_id", "node", "hop") == [(1, "a", 0), (1, "b", 1), (1, "c", 1), (2, "c", 1), (2, "d", 0), (2, "e", 1), (2, "f", 0), (3, "nowhere", 0)]
+
+
+def test_community_summary_by_hand(spark):
+    labels = spark.createDataFrame([("p1", "p1"), ("p2", "p1"), ("l", "p1"), ("q", "q")], "node string, community string")
+    ends = spark.createDataFrame([("p1", "l"), ("p2", "l"), ("q", "l")], "src string, dst string")
+    texts = spark.createDataFrame([("p1", 1, "x y"), ("p2", 2, "y z z z y"), ("q", 3, None)], "node string, doc_id long, text string")
+    rows = {r["community"]: r for r in graph.community_summary(labels, ends, texts, top=2).collect()}
+    assert (rows["p1"]["size"], rows["p1"]["top_nodes"], rows["p1"]["top_terms"], rows["p1"]["representative"]) == (3, "l,p1", "y,z,x", "x y")
+    assert (rows["q"]["size"], rows["q"]["top_terms"], rows["q"]["representative"]) == (1, None, None)
+
+
+def test_bm25_of_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "a b")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a A"), (8, None), (9, "zzz")], "question_id long, text string")
+    got = lexical.bm25_topk(asked, docs).collect()
+    idf, avg = math.log(1 + 2.5 / 2.5), 1.5
+    want = [(7, 1, 1, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / avg)), 6)), (7, 2, 4, round(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / avg)), 6))]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_documents_are_scanned_once_for_scores(spark, sf):
+    """One scan writes what is kept; the scores read that and never the documents."""
+    docs = load(spark, sf, "documents")
+    plan = lexical.bm25_topk(spark.createDataFrame([(1, "a")], "question_id long, text string"), docs)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
+def test_scratch_must_be_shared_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *x: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        sizes.scratch(far)
+
+
+def test_a_stream_reads_its_own_table_only(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    save(df, str(tmp_path / "conversations.parquet"))
+    save(df, str(tmp_path / "conversations.parquet_old"))
+    assert drained(stream(spark, str(tmp_path), "conversations")).count() == 1

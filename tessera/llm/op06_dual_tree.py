@@ -285,9 +285,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_
     left = groups.select(F.col("place").alias("grp"), F.col("centre").alias("q"), F.col("radius").alias("rq"), F.col("norm").alias("nq"))
     high = _dot("q", "d") + F.col("rq") * F.col("nd") + F.col("rd") * F.col("nq") + F.col("rq") * F.col("rd")
     high = high + F.abs(high) * 1e-9 + 1e-6
-    # every group meets the few regions: the stated queries against all rows, by their summaries
-    all_regions = regions.agg(F.collect_list(F.struct("region", "d", "rd", "nd")).alias("all"))
-    bounds = stored(left.join(F.broadcast(all_regions)).select("*", F.explode("all").alias("r")).select("grp", "q", "rq", "nq", "r.*").select("grp", "q", "rq", "nq", "region", high.alias("region_high")), "bounds")
+    # every group meets the few regions (at most PIVOTS rows): the stated queries against all rows, by their summaries
+    each = F.explode(F.sequence(F.lit(PIVOTS).cast("long"), F.lit(2 * PIVOTS - 1).cast("long"))).alias("region")
+    bounds = stored(left.select("*", each).join(F.broadcast(regions), "region").select("grp", "q", "rq", "nq", "region", high.alias("region_high")), "bounds")
     nearest = bounds.groupBy("grp").agg(F.max_by(F.struct("region", "q", "rq", "nq"), F.struct("region_high", "region")).alias("m")).select("grp", "m.*")
     # as many blocks as hold k others than a query itself
     order = Window.partitionBy("grp").orderBy(F.desc("high"), "block").rowsBetween(Window.unboundedPreceding, -1)

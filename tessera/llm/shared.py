@@ -16,9 +16,11 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own only on a local master, where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _FALLBACK:
             _FALLBACK.append(tempfile.mkdtemp(prefix="tessera-"))
         base = _FALLBACK[0]

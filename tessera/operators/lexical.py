@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from .sizes import materialized, small
+from .sizes import is_small, materialized, small
 from .text import tokenize
 
 K1, B = 1.2, 0.75
@@ -44,11 +44,13 @@ def weighted_postings(docs: DataFrame, words: DataFrame | None = None) -> DataFr
 def bm25_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """question_id, doc_id, score for all pairs that share a term.
 
-    Only postings of question terms are kept before anything else is joined. Null and empty questions
-    have no terms and so no rows."""
+    Only postings of question terms are kept before anything else is joined. Where the questions' terms
+    can be broadcast, postings are dealt by document, so the many pairs are summed up where they are
+    made and not shuffled. Null and empty questions have no terms and so no rows."""
     asked = materialized(tokenize(questions, "question_id").select("question_id", "term").distinct())
     parts = weighted_postings(docs, asked.select("term").distinct())
-    return parts.join(small(asked), "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    met = parts.repartition("doc_id").join(F.broadcast(asked), "term") if is_small(asked) else parts.join(asked, "term")
+    return met.groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def best(scores: DataFrame, k: int, group: str = "question_id", item: str = "doc_id") -> DataFrame:

@@ -12,9 +12,13 @@ MOST_BROADCAST_ROWS = 100_000
 _FALLBACK: list[str] = []
 
 
+def is_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def scratch(spark: SparkSession) -> str:

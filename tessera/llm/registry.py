@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_repair, op02_prefix_counts, op03_curve_packing, op04_rules, op05_byte_bpe, op06_dual_tree, op07_urls, op08_language, op09_near_dups, op10_media
+from . import op01_repair, op02_prefix_counts, op03_curve_packing, op04_rules, op05_byte_bpe, op06_dual_tree, op07_urls, op08_language, op09_near_dups, op10_media, op11_simhash, op12_delta_lloyd, op13_collocations
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_id": op08_language.op8_language_id,
         "op9_near_duplicates": op09_near_dups.op9_near_duplicates,
         "op10_audio_features": op10_media.op10_audio_features,
+        "op11_simhash_components": op11_simhash.op11_simhash_components,
+        "op12_delta_lloyd": op12_delta_lloyd.op12_delta_lloyd,
+        "op13_collocations": op13_collocations.op13_collocations,
     }
 
 
@@ -24,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_dual_tree_top_k": op06_dual_tree.ORACLE,
         "op7_url_filter": op07_urls.ORACLE,
+        "op12_delta_lloyd": op12_delta_lloyd.ORACLE,
+        "op13_collocations": op13_collocations.ORACLE,
     }

@@ -14,10 +14,13 @@ blocks, those whose bound does, so the result is exact and pairs that bounds rul
 written anywhere. Pruning depends on the data: where all vectors are about equally far apart, it
 leaves out little, and the work is that of comparing the queries with all rows, in blocks.
 
+A block's tree goes once to each part of about ``PART`` groups that meet it.
+
 Scores are exact up to 2**53. Defined results: vectors that are null or hold null or non-finite
 components, and rows without an id, take no part; shorter vectors count as padded with zeros;
-an id that repeats counts once, with its smallest vector; ties go to the smaller id; with fewer than
-k candidates all are given; empty tables give an empty result; other columns are not read.
+rows are told apart by a key of their own, so of rows that repeat an id each is a candidate, also for
+the others, and each is a query with its own k rows; ties go to the smaller id; with fewer than k candidates
+all are given; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +40,15 @@ LEAF, MOST_CHILDREN = 64, 64
 PIVOTS, SAMPLE = 64, 2048
 CELL_SAMPLE = 256  # rows, about, that a crowded cell's pivots are chosen from
 LEVELS = 9  # 64 ** 9 cells; their codes fit a long
+PART = 64  # groups that share one copy of a block's tree
+REGION_BLOCKS = 256  # blocks of a region that share a join key
 
 
 class CoverTree:
-    """Points in tree order; node i has points first[i] to stop[i], a centre, a radius and children."""
+    """Points in tree order, with their ids and the keys of their rows; node i has points first[i] to
+    stop[i], a centre, a radius and children."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, points: np.ndarray, keys: np.ndarray | None = None) -> None:
         self.order: list[np.ndarray] = []
         self.first, self.stop, self.radius, self.children, centres = [], [], [], [], []
         self.placed = 0
@@ -87,14 +93,14 @@ class CoverTree:
         if len(points):
             add(np.arange(len(points)), root, np.inf)
         order = np.concatenate(self.order) if self.order else np.empty(0, int)
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.keys, self.points = ids[order], (ids if keys is None else keys)[order], points[order]
         self.centres = np.array(centres).reshape(len(centres), points.shape[1])
         self.norms = np.sqrt((self.centres**2).sum(axis=1))
         del self.order, self.placed
 
 
 def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray | None = None, met: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k best of ``data`` for each query, without what lies below ``floor``.
+    """(query key, id, score) of the k best of ``data`` for each query, without what lies below ``floor``.
 
     ``met`` takes the number of pairs of points in each pair of leaves that was compared."""
     n = len(queries.ids)
@@ -131,7 +137,7 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray |
             if met is not None:
                 met.append(len(alive) * (y - b))
             scores = queries.points[alive] @ data.points[b:y].T
-            scores[queries.ids[alive, None] == data.ids[None, b:y]] = -np.inf
+            scores[queries.keys[alive, None] == data.keys[None, b:y]] = -np.inf
             row, col = np.nonzero((scores >= worst[alive, None]) & (scores > -np.inf))
             if not len(row):
                 continue
@@ -148,15 +154,15 @@ def dual_search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray |
     row, ids, scores = row[order], ids[order], scores[order]
     first = np.searchsorted(row, row, "left")
     keep = np.arange(len(row)) - first < k
-    return queries.ids[row[keep]], ids[keep], scores[keep]
+    return queries.keys[row[keep]], ids[keep], scores[keep]
 
 
 def integer_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v, floor(scale * x) of each component; one row an id."""
+    """row (unique), vec_id and v, floor(scale * x) of each component; stored, so that keys stay."""
     whole = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & whole)
-    return rows.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double")).alias("v")), "vectors")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -183,11 +189,11 @@ def nearest_pivot(column: pa.Array | pa.ChunkedArray, pivots: np.ndarray) -> np.
 
 def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Rows with the cell of the nearest pivot. A cell's code is PIVOTS times (its parent's + 1), plus its place."""
-    ddl = "vec_id long, v array<double>, cell long"
+    ddl = "row long, vec_id long, v array<double>, cell long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("vec_id"), b.column("v"), pa.array(PIVOTS + nearest_pivot(b.column("v"), pivots))], schema=arrow_of(ddl))
+            yield pa.record_batch([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(PIVOTS + nearest_pivot(b.column("v"), pivots))], schema=arrow_of(ddl))
 
     return rows.mapInArrow(run, ddl)
 
@@ -197,7 +203,7 @@ def split_cells(placed: DataFrame, width: int, most: int) -> DataFrame:
 
     A cell's pivots come from about CELL_SAMPLE of its rows; its rows are dealt in parts of about
     ``most``, each with a copy of the pivots."""
-    pivot_ddl, row_ddl = "cell long, parts long, pivots array<double>, k long", "vec_id long, v array<double>, cell long"
+    pivot_ddl, row_ddl = "cell long, parts long, pivots array<double>, k long", "row long, vec_id long, v array<double>, cell long"
 
     def choose(table: pa.Table) -> pa.Table:
         n = table.column("n")[0].as_py()
@@ -209,20 +215,20 @@ def split_cells(placed: DataFrame, width: int, most: int) -> DataFrame:
             return arrow_of(row_ddl).empty_table()
         chosen = np.array(pivots.column("pivots")[0].as_py()).reshape(-1, width)
         cell = (rows.column("cell").to_numpy() + 1) * PIVOTS + nearest_pivot(rows.column("v"), chosen)
-        return pa.table([rows.column("vec_id"), rows.column("v"), pa.array(cell)], schema=arrow_of(row_ddl))
+        return pa.table([rows.column("row"), rows.column("vec_id"), rows.column("v"), pa.array(cell)], schema=arrow_of(row_ddl))
 
     for level in range(1, LEVELS):
         crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
         if not crowded.limit(1).count():
             break
-        met = placed.join(crowded, "cell").where(F.pmod(F.xxhash64("vec_id", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("n") / CELL_SAMPLE))) == 0)
+        met = placed.join(crowded, "cell").where(F.pmod(F.xxhash64("row", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("n") / CELL_SAMPLE))) == 0)
         pivots = stored(met.select("cell", "n", "v").groupBy("cell").applyInArrow(choose, pivot_ddl), "pivots").where("k > 1")
         if not pivots.limit(1).count():
             break
-        moving = placed.join(pivots.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).drop("parts")
+        moving = placed.join(pivots.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("parts")
         copies = pivots.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pivots")
         moved = moving.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInArrow(assign, row_ddl)
-        placed = stored(placed.join(pivots.select("cell"), "cell", "left_anti").select("vec_id", "v", "cell").unionByName(moved), "placed")
+        placed = stored(placed.join(pivots.select("cell"), "cell", "left_anti").select("row", "vec_id", "v", "cell").unionByName(moved), "placed")
     return placed
 
 
@@ -230,11 +236,11 @@ def trees(placed: DataFrame, size: int, width: int) -> DataFrame:
     """place, region, n, centre, radius, norm and the pickled tree of each block of at most about ``size`` points."""
     ddl = "place string, region long, n long, centre array<double>, radius double, norm double, tree binary"
     counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(size))).alias("pieces"))
-    dealt = placed.join(counts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "pieces").alias("piece"), "vec_id", "v")
+    dealt = placed.join(counts, "cell").select("cell", F.pmod(F.xxhash64("row"), "pieces").alias("piece"), "row", "vec_id", "v")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         cell, piece = (x.as_py() for x in key)
-        tree, region = CoverTree(table.column("vec_id").to_numpy(), matrix(table.column("v"), width)), cell
+        tree, region = CoverTree(table.column("vec_id").to_numpy(), matrix(table.column("v"), width), table.column("row").to_numpy()), cell
         while region >= 2 * PIVOTS:
             region = region // PIVOTS - 1
         row = (f"{cell}:{piece}", region, len(tree.ids), tree.centres[0].tolist(), tree.radius[0], float(tree.norms[0]), pickle.dumps(tree))
@@ -244,23 +250,32 @@ def trees(placed: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def search(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The k best of each pair's block for each query of its group; ``floors`` holds k-th scores known so far."""
-    ddl = "grp string, query_id long, vec_id long, score long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                grp, query, data, known = (b.column(c)[i].as_py() for c in ("grp", "query_tree", "data_tree", "floors"))
-                queries, floor = pickle.loads(query), None
-                if known is not None:
-                    best = dict(known)
-                    floor = np.array([best.get(int(q), -np.inf) for q in queries.ids])
-                q, d, s = dual_search(queries, pickle.loads(data), k, floor)
-                yield pa.record_batch([pa.array([grp] * len(q), pa.string()), pa.array(q), pa.array(d), pa.array(s.astype(np.int64))], schema=arrow_of(ddl))
+    """The k best of each pair's block for each query of its group; ``floors`` holds k-th scores known so far.
+
+    A block and some of the groups that meet it come to a task together."""
+    ddl = "grp string, query long, query_id long, vec_id long, score long"
+
+    def run(met: pa.Table, block: pa.Table) -> pa.Table:
+        schema, found = arrow_of(ddl), []
+        data = pickle.loads(block.column("data_tree")[0].as_py()) if met.num_rows else None
+        for i in range(met.num_rows):
+            grp, query, known = (met.column(c)[i].as_py() for c in ("grp", "query_tree", "floors"))
+            queries, floor = pickle.loads(query), None
+            if known is not None:
+                best = dict(known)
+                floor = np.array([best.get(int(q), -np.inf) for q in queries.keys])
+            q, d, s = dual_search(queries, data, k, floor)
+            order = np.argsort(queries.keys)
+            ids = queries.ids[order[np.searchsorted(queries.keys, q, sorter=order)]]
+            found.append(pa.table([pa.array([grp] * len(q), pa.string()), pa.array(q), pa.array(ids), pa.array(d), pa.array(s.astype(np.int64))], schema=schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
 
     joined = pairs.join(groups.select(F.col("place").alias("grp"), F.col("tree").alias("query_tree")), "grp")
-    joined = joined.join(blocks.select(F.col("place").alias("block"), F.col("tree").alias("data_tree")), "block")
-    return joined.select("grp", "query_tree", "data_tree", "floors").mapInArrow(run, ddl)
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / F.lit(float(PART))).alias("parts"))
+    joined = joined.join(parts, "block").select("block", F.pmod(F.xxhash64("grp"), "parts").alias("part"), "grp", "query_tree", "floors")
+    trees = blocks.select(F.col("place").alias("block"), F.col("tree").alias("data_tree")).join(parts, "block")
+    trees = trees.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "data_tree")
+    return joined.groupBy("block", "part").cogroup(trees.groupBy("block", "part")).applyInArrow(run, ddl)
 
 
 def _dot(a: str, b: str) -> Column:
@@ -270,39 +285,43 @@ def _dot(a: str, b: str) -> Column:
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on vec_id."""
     rows = integer_vectors(vectors, scale, id_col, vector_col)
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()]
     width = rows.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
     pivots = choose_pivots(np.array([x + [0.0] * (width - len(x)) for x in sample]).reshape(len(sample), width), PIVOTS)
     if not len(pivots):
         pivots = np.zeros((1, width))
     placed = split_cells(stored(in_cells(rows, pivots), "placed"), width, BLOCK)
     blocks, groups = trees(placed, BLOCK, width), trees(placed.where(is_query), GROUP, width)
-    summaries = blocks.select(F.col("place").alias("block"), "region", "n", F.col("centre").alias("d"), F.col("radius").alias("rd"), F.col("norm").alias("nd"))
+    # a region's blocks are dealt over keys, so that none of the at most PIVOTS regions is one join key
+    counts = blocks.groupBy("region").agg(F.ceil(F.count("*") / F.lit(float(REGION_BLOCKS))).alias("salts"))
+    summaries = blocks.join(F.broadcast(counts), "region").select(F.col("place").alias("block"), "region", "salts", F.pmod(F.xxhash64("place"), "salts").alias("salt"), "n", F.col("centre").alias("d"), F.col("radius").alias("rd"), F.col("norm").alias("nd"))
     # a region is a ball around one of its blocks' centres; there are at most PIVOTS of them
     heart = summaries.groupBy("region").agg(F.min_by("d", "block").alias("c"))
     away = F.sqrt(F.aggregate(F.zip_with("d", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)) + F.col("rd")
-    regions = summaries.join(F.broadcast(heart), "region").groupBy("region").agg(F.first("c").alias("d"), (F.max(away) * (1 + 1e-9)).alias("rd")).withColumn("nd", F.sqrt(_dot("d", "d")))
+    regions = summaries.join(F.broadcast(heart), "region").groupBy("region").agg(F.first("salts").alias("salts"), F.first("c").alias("d"), (F.max(away) * (1 + 1e-9)).alias("rd")).withColumn("nd", F.sqrt(_dot("d", "d")))
     left = groups.select(F.col("place").alias("grp"), F.col("centre").alias("q"), F.col("radius").alias("rq"), F.col("norm").alias("nq"))
     high = _dot("q", "d") + F.col("rq") * F.col("nd") + F.col("rd") * F.col("nq") + F.col("rq") * F.col("rd")
     high = high + F.abs(high) * 1e-9 + 1e-6
     # every group meets the few regions (at most PIVOTS rows): the stated queries against all rows, by their summaries
     each = F.explode(F.sequence(F.lit(PIVOTS).cast("long"), F.lit(2 * PIVOTS - 1).cast("long"))).alias("region")
-    bounds = stored(left.select("*", each).join(F.broadcast(regions), "region").select("grp", "q", "rq", "nq", "region", high.alias("region_high")), "bounds")
-    nearest = bounds.groupBy("grp").agg(F.max_by(F.struct("region", "q", "rq", "nq"), F.struct("region_high", "region")).alias("m")).select("grp", "m.*")
+    bounds = stored(left.select("*", each).join(F.broadcast(regions), "region").select("grp", "q", "rq", "nq", "region", "salts", high.alias("region_high")), "bounds")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    summaries = summaries.drop("salts")
+    nearest = bounds.groupBy("grp").agg(F.max_by(F.struct("region", "salts", "q", "rq", "nq"), F.struct("region_high", "region")).alias("m")).select("grp", "m.*")
     # as many blocks as hold k others than a query itself
     order = Window.partitionBy("grp").orderBy(F.desc("high"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    best = nearest.join(summaries, "region").select("grp", "block", "n", high.alias("high")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") <= k)
-    kind = "array<struct<query_id:bigint,score:double>>"
+    best = salted(nearest).join(summaries, ["region", "salt"]).select("grp", "block", "n", high.alias("high")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") <= k)
+    kind = "array<struct<query:bigint,score:double>>"
     seeds = stored(best.select("grp", "block", F.lit(None).cast(kind).alias("floors")), "seeds")
     first = stored(search(seeds, groups, blocks, k), "first")
-    kth = first.groupBy("grp", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("grp", "query_id", F.element_at("s", k).alias("score"))
+    kth = first.groupBy("grp", "query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("grp", "query", F.element_at("s", k).alias("score"))
     # a group has about GROUP queries, so its list is short
-    known = kth.groupBy("grp").agg(F.collect_list(F.struct("query_id", F.col("score").cast("double").alias("score"))).alias("floors"), F.count("*").alias("n"), F.min("score").alias("low"))
+    known = kth.groupBy("grp").agg(F.collect_list(F.struct("query", F.col("score").cast("double").alias("score"))).alias("floors"), F.count("*").alias("n"), F.min("score").alias("low"))
     worst = groups.select(F.col("place").alias("grp"), F.col("n").alias("queries")).join(known, "grp", "left").select("grp", "floors", F.when(F.col("n") == F.col("queries"), F.col("low")).alias("low"))
     reached = bounds.join(worst, "grp").where(F.col("low").isNull() | (F.col("region_high") >= F.col("low")))
-    more = reached.join(summaries, "region").where(F.col("low").isNull() | (high >= F.col("low"))).select("grp", "block", "floors").join(seeds.select("grp", "block"), ["grp", "block"], "left_anti")
+    more = salted(reached).join(summaries, ["region", "salt"]).where(F.col("low").isNull() | (high >= F.col("low"))).select("grp", "block", "floors").join(seeds.select("grp", "block"), ["grp", "block"], "left_anti")
     found = first.unionByName(search(more, groups, blocks, k))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -311,11 +330,11 @@ def op6_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH good AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+WITH good AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
-scored AS (SELECT q.vec_id AS query_id, d.vec_id,
+scored AS (SELECT q.r, q.vec_id AS query_id, d.vec_id,
   list_sum([a[1] * a[2] FOR a IN list_zip(q.v, d.v)])::BIGINT AS score
-  FROM good q JOIN good d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+  FROM good q JOIN good d ON q.vec_id % 20 = 0 AND q.r <> d.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -1,14 +1,15 @@
 """URL filter: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
 A rule is a host and the start of a path; it fits the host and all its subdomains. Every URL is
-expanded into one expression for each host suffix and each path start whose length some rule has.
+expanded into one expression for each host suffix of as many labels, and each path start of the length,
+that some rule has, so the work is linear in the URL however many labels or characters it has.
 The expressions meet the rules in an equi-join on the first 32 bits of a SHA-256 digest; the full
 digests then confirm the match, and the longest rule of a URL wins (a block before an allow of the
 same length). A URL that no rule fits gets ``default``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and so no rule; a
-repeated row is judged as often as it occurs; null ids are kept; an empty table gives an empty
-result; other columns of the input are not read. Only DataFrame functions run here.
+repeated row is judged as often as it occurs; null ids are kept; very long hosts and paths are judged
+whole; of rules that fit, equal in length, a block wins; an empty table gives an empty result; other columns of the input are not read. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -44,25 +45,26 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "action string, host string, path string")
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    n = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    fitting = [F.when(n >= m, F.substring_index(host, ".", -m)) for m in labels]
+    suffixes = F.array_compact(F.array(*fitting).cast("array<string>"))
     starts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule, verdict."""
-    rules = rules.where("host is not null and path is not null").groupBy(F.concat("host", "path").alias("rule")).agg(F.max("action").alias("action"), F.max(F.length("path")).alias("n"))
-    # path lengths of the rules, never more than the longest path has characters
-    lengths = sorted(r["n"] for r in rules.select("n").distinct().toLocalIterator())
+    rules = rules.where("host is not null and path is not null").groupBy(F.concat("host", "path").alias("rule")).agg(F.max("action").alias("action"), F.max(F.length("path")).alias("n"), F.max(F.size(F.split("host", r"\."))).alias("m"))
+    # path lengths and label counts of the rules, never more than the longest path and host have
+    lengths, labels = (sorted(r[0] for r in rules.select(c).distinct().toLocalIterator()) for c in ("n", "m"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     rules = rules.select("rule", "action", F.sha2("rule", 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     # repeated rows are counted before anything is dealt out, so no page is a hot key
     pages = pages.groupBy(F.col(id_col).alias("id"), F.col(url_col).alias("url")).agg(F.count("*").alias("times"))
     host, path = url_parts(F.col("url"))
     pages = pages.select("id", "url", "times", host.alias("host"), path.alias("path"))
-    made = pages.select("*", F.explode_outer(_expressions(F.col("host"), F.col("path"), lengths)).alias("expression"))
+    made = pages.select("*", F.explode_outer(_expressions(F.col("host"), F.col("path"), labels, lengths)).alias("expression"))
     made = made.select("*", F.sha2("expression", 256).alias("full")).withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
     met = made.join(F.broadcast(rules) if few else rules, "prefix", "left")
     sure = F.col("full") == F.col("digest")

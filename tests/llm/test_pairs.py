@@ -4,6 +4,7 @@ import math
 import os
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from conftest import same_as_sql
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
-from cases import ODD, counted, documents, no_docs, odd_docs, same_rows_left, with_clashes  # noqa: E402
+from cases import ODD, counted, documents, no_docs, odd_docs, same_rows_left, tables_of, with_clashes  # noqa: E402
 
 from tessera.llm import op06_dual_tree, op07_urls, op09_near_dups, registry  # noqa: E402
 
@@ -125,15 +126,12 @@ def test_similarity_of_lists():
 
 
 def brute_top_k(rows, k, every=20):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole = [math.floor(64 * x) for x in v]
-            good[i] = min(good.get(i, whole), whole)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in good if i % every == 0):
-        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    for n, (q, own) in enumerate(good):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, (i, v) in enumerate(good) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return counted(out)
 
 
@@ -141,6 +139,18 @@ def test_top_k_same_as_sql(spark, sf, duck):
     same_as_sql(registry.queries()["op6_dual_tree_top_k"](spark, sf), duck, registry.oracle_sql()["op6_dual_tree_top_k"])
 
 
+def test_repeated_ids_same_as_sql(spark, sf, tmp_path):
+    """Each row of a repeated id is a query and a candidate, with its own vector."""
+    import duckdb
+
+    some = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60")
+    again = some.where("vec_id in (5, 40)").select("vec_id", F.reverse("embedding").alias("embedding"), "label").unionAll(some.where("vec_id in (40, 7)"))
+    path = tables_of(tmp_path, embeddings=some.unionAll(again).coalesce(1))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet'")
+    same_as_sql(registry.queries()["op6_dual_tree_top_k"](spark, path), con, registry.oracle_sql()["op6_dual_tree_top_k"])
+
+
 def test_top_k_of_odd_vectors(spark):
     nan, inf = math.nan, math.inf
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (20, [1.0]), (21, []), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 0.0]), (None, [1.0, 1.0]), (7, [-1.0, -0.01]), (7, [-1.0, 9.0]), (0, [1.0, 0.5]), (40, [0.0, 0.0])]
@@ -223,6 +233,15 @@ def test_odd_urls(spark):
     assert {r["verdict"] for r in op07_urls.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_very_long_urls(spark):
+    """Linear in a host's labels and a path's length: these took minutes when all suffixes were made."""
+    rows = [(1, "http://" + "a." * 16_000 + "example.com/en/" + "y" * 100_000), (2, "x://" + "." * 30_000 + "net/fr/"), (3, "http://" + "b" * 200_000 + "/es/" * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.perf_counter()
+    assert counted(op07_urls.judge_urls(pages, op07_urls.rule_table(spark)).collect()) == counted((i, *judge(u)) for i, u in rows)
+    assert time.perf_counter() - began < 20
+
+
 def test_many_rules_are_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(op07_urls, "BROADCAST_RULES", 2)
     rows = [(1, "http://example.com/en/"), (2, "http://x.net/fr/")]

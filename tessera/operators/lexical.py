@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from .sizes import is_small, materialized, small
+from .impact import impact_index, topk
+from .sizes import materialized, small
 from .text import tokenize
 
 K1, B = 1.2, 0.75
@@ -22,8 +23,8 @@ def doc_freq(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def weighted_postings(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """term, doc_id, part: what each posting adds to a BM25 score; with ``words`` (term), only of these terms.
+def weighted(docs: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Postings term, doc_id, part (what each adds to a BM25 score), and the number of documents; with ``words`` (term), only of these terms.
 
     The texts are read and cut once. What is kept of them, with a row without a term for each
     document, is written; document frequencies, the number of documents and their mean length all
@@ -33,23 +34,30 @@ def weighted_postings(docs: DataFrame, words: DataFrame | None = None) -> DataFr
         asked = words.select("term").unionByName(words.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "word")
         tokens = tokens.join(small(asked), F.col("term").eqNullSafe(F.col("word")), "left_semi")
     kept = materialized(tokens.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")))
-    corpus = kept.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl") > 0, F.col("tf")))).alias("avgdl"))  # one row
-    found = kept.where("term is not null")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = doc_freq(found).crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(weights if words is None else small(weights), "term").select("term", "doc_id", part.alias("part"))
+    corpus = kept.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl") > 0, F.col("tf")))).alias("avgdl")).first()
+    n, found = corpus["n"], kept.where("term is not null")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = materialized(doc_freq(found).select("term", idf.alias("idf")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"])))
+    return found.join(small(weights), "term").select("term", "doc_id", part.alias("part")), n
+
+
+def weighted_postings(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    return weighted(docs, words)[0]
+
+
+def index(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The stored impact index of ``docs``, made once for any number of questions; with ``words``, only of these terms."""
+    return impact_index(*weighted(docs, words))
 
 
 def bm25_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """question_id, doc_id, score for all pairs that share a term.
+    """question_id, doc_id, score for all pairs that share a term. For the k best, ``bm25_topk`` makes far fewer.
 
-    Only postings of question terms are kept before anything else is joined. Where the questions' terms
-    can be broadcast, postings are dealt by document, so the many pairs are summed up where they are
-    made and not shuffled. Null and empty questions have no terms and so no rows."""
+    Only postings of question terms are kept before anything else is joined. Null and empty questions
+    have no terms and so no rows."""
     asked = materialized(tokenize(questions, "question_id").select("question_id", "term").distinct())
-    parts = weighted_postings(docs, asked.select("term").distinct())
-    met = parts.repartition("doc_id").join(F.broadcast(asked), "term") if is_small(asked) else parts.join(asked, "term")
+    met = weighted_postings(docs, asked.select("term").distinct()).join(small(asked), "term")
     return met.groupBy("question_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
@@ -60,7 +68,9 @@ def best(scores: DataFrame, k: int, group: str = "question_id", item: str = "doc
 
 
 def bm25_topk(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    return best(bm25_scores(questions, docs), k)
+    """question_id, rank, doc_id, score of the k best documents, from an index of the questions' terms."""
+    asked = materialized(tokenize(questions, "question_id").select("term").distinct())
+    return best(topk(questions, index(docs, asked), k), k)
 
 
 def filtered_retrieval(questions: DataFrame, docs: DataFrame, k: int = 5, lang: str | None = None, source: str | None = None) -> DataFrame:

@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_BROADCAST_ROWS = 100_000
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 100_000, 32 << 20
 _FALLBACK: list[str] = []
 
 
-def is_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> bool:
-    return df.limit(most + 1).count() <= most
+def is_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS, most_bytes: int = MOST_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and these, written out, at most ``most_bytes``."""
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= most and size["bytes"] <= most_bytes
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is, for a shuffled join."""
+    """``df`` with a broadcast hint if it is small, else as it is, for a shuffled join.
+
+    ``df`` is run for the check and again in the join: give what is read from a table, not what costs."""
     return F.broadcast(df) if is_small(df, most) else df
 
 

@@ -7,8 +7,11 @@ joins at a hub are plain inner joins, whose large partitions Spark's adaptive ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from .text import chunk, links
 from .vector import knn
 
 
+#: Edges of a task that counts triangles, about.
+EDGES_A_TASK = 1_000_000
+
+
 def edges_pages(pages: DataFrame) -> DataFrame:
     """Pages and what they link to, as a two-sided graph: src ``p`` + page_id, dst ``l`` + link.
 
@@ -119,14 +126,59 @@ def communities(edges: DataFrame, iterations: int = 3) -> DataFrame:
     return labels
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """One row, the number of triangles. Edges point to the end of higher degree, which bounds the wedges at a hub."""
-    steps = materialized(both_ways(edges))
-    size = steps.groupBy("src").agg(F.count("*").alias("n"))
-    sized = steps.join(size, "src").join(size.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
-    up = materialized(sized.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
-    wedges = up.alias("x").join(up.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-    return wedges.join(up, ["src", "dst"]).agg(F.count("*").alias("triangles"))
+def triangles(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+    """One row, the number of triangles.
+
+    Nodes get one of b colours by their hash, and an edge goes to the b multisets of three colours
+    that hold its own two. All edges of a triangle meet in the multiset of its colours and nowhere
+    else, where they are counted within the task by intersecting lists of neighbours; wedges are never
+    rows. So b copies of each edge are shuffled, and b is chosen so that a task has about
+    ``edges_a_task`` edges, even those of the largest hub."""
+    one = materialized(edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    ends = one.select(F.col("a").alias("node")).unionAll(one.select("b"))
+    size = ends.groupBy("node").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n") / 2, F.lit(0)).alias("m"), F.coalesce(F.max("n"), F.lit(0)).alias("hub")).first()
+    colours = max(1, math.ceil(math.sqrt(6 * size["m"] / edges_a_task)), math.ceil(2 * size["hub"] / edges_a_task))
+    colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
+    dealt = one.select("a", "b", colour("a").alias("ca"), colour("b").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("c"))
+    dealt = dealt.withColumn("t", F.array_sort(F.array("ca", "cb", "c"))).select("a", "b", "ca", "cb", F.col("t")[0].alias("t0"), F.col("t")[1].alias("t1"), F.col("t")[2].alias("t2"))
+
+    def run(key: tuple, met: pa.Table) -> pa.Table:
+        n = count_triangles(*(met.column(c).combine_chunks() for c in ("a", "b")), met.column("ca").to_numpy(), met.column("cb").to_numpy(), [x.as_py() for x in key])
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    return dealt.groupBy("t0", "t1", "t2").applyInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("triangles"))
+
+
+def count_triangles(a: pa.Array, b: pa.Array, colour_a: np.ndarray, colour_b: np.ndarray, wanted: list[int], at_once: int = 1 << 21) -> int:
+    """Triangles among the edges a[i], b[i] whose nodes have just the wanted colours. ``at_once`` bounds what is held beside the edges."""
+    both = pa.concat_arrays([a, b]).dictionary_encode()
+    ids, n, m = both.indices.to_numpy().astype(np.int64), len(both.dictionary), len(a)
+    colours = np.empty(n, np.int64)
+    colours[ids[:m]], colours[ids[m:]] = colour_a, colour_b
+    # nodes by degree, edges from the lower to the higher: lists of neighbours stay short at hubs
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(np.bincount(ids, minlength=n), kind="stable")] = np.arange(n)
+    colours = colours[np.argsort(rank)]
+    ends = np.sort(rank[ids].reshape(2, m), axis=0)
+    keys = np.sort(ends[0] * n + ends[1])
+    u, v = keys // n, keys % n
+    first, size = np.searchsorted(u, np.arange(n)), np.bincount(u, minlength=n)
+    swap = size[v] > size[u]  # the shorter list is gone through, the other one looked up
+    short, other = np.where(swap, u, v), np.where(swap, v, u)
+    steps = np.cumsum(size[short])
+    total, at, wanted = 0, 0, sorted(wanted)
+    while at < m:
+        stop = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + at_once, "right")))
+        n_of = size[short[at:stop]]
+        edge = np.repeat(np.arange(at, stop), n_of)
+        w = v[np.repeat(first[short[at:stop]] - (np.cumsum(n_of) - n_of), n_of) + np.arange(len(edge))]
+        sought = other[edge] * n + w
+        spot = np.minimum(np.searchsorted(keys, sought), m - 1)
+        found = keys[spot] == sought
+        edge, w = edge[found], w[found]
+        total += int((np.sort(np.stack([colours[u[edge]], colours[v[edge]], colours[w]]), axis=0) == np.array(wanted)[:, None]).all(axis=0).sum())
+        at = stop
+    return total
 
 
 def entities(docs: DataFrame, top: int = 3, size: int = 500, stride: int = 400) -> DataFrame:

@@ -192,7 +192,6 @@ QUERIES = {
     "g7_pagerank": (ranks, f"WITH {EDGES}, {PAGERANK} SELECT node, round(rank, 9) AS rank FROM r5"),
     "g8_communities": (labels, f"WITH {EDGES}, {LABELS} SELECT * FROM l3"),
     "g9_triangles": (triangle_count, TRIANGLES),
-    "g9_turn_triangles": (triangle_count, TRIANGLES),
     "g10_entities": (chunk_entities, ENTITIES),
     "g11_community_summary": (summaries, SUMMARIES),
     "q4_graph_expand": (expanded, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25}, h0 AS (SELECT question_id, doc_id AS node FROM ranked WHERE rank <= 5), {_hit_edges('SELECT node AS doc_id FROM h0')}, h1 AS (SELECT question_id, dst AS node FROM h0 JOIN around ON src = node) SELECT question_id, node, min(hop)::INTEGER AS hop FROM (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1) GROUP BY ALL"),

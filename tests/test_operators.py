@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def test_triangles_of_every_turn(spark, tmp_path):
     assert graphs.triangle_count(spark, str(tmp_path)).first()["triangles"] == 2
 
 
+def test_triangles_by_colours(spark):
+    """As many as all triples give, with one task and with many, with loops, repeats, both directions and a hub."""
+    r = np.random.default_rng(1)
+    ends = [(int(x), int(y)) for x, y in r.integers(0, 60, (500, 2))] + [(0, i) for i in range(60)] + [(i, 0) for i in range(60)]
+    linked = {frozenset(e) for e in ends if e[0] != e[1]}
+    want = sum({frozenset((i, j)), frozenset((j, k)), frozenset((i, k))} <= linked for i in range(60) for j in range(i) for k in range(j))
+    df = spark.createDataFrame([(f"n{x}", f"n{y}") for x, y in ends] + [(None, "n1"), ("n2", None)], "src string, dst string")
+    for size in (1_000_000, 200, 40):
+        assert graph.triangles(df, size).first()["triangles"] == want
+
+
 def test_cooccurrence_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "b"), (3, None), (4, "")], "doc_id long, text string")
     assert pairs(graph.edges_cooccur(docs), "src", "dst", "weight") == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]

@@ -34,8 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """A table of fewer parts than there are cores dealt anew, each part over at most ``most``; one of many parts as it is."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, most * parts)) if 0 < parts < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; the documents are spread, so that a small file of them is not one task's."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from .lexical import doc_freq, postings
-from .sizes import materialized, small
+from .sizes import materialized, small, spread
 from .text import chunk, links
 from .vector import knn
 
@@ -41,7 +41,7 @@ def edges_cooccur(docs: DataFrame, reach: int = 2) -> DataFrame:
     """Terms up to ``reach`` words apart in a text; weight counts the meetings. Linear in the text.
 
     Pairs are made within the row, so the only shuffle is that of their counts."""
-    found = docs.select(terms(F.col("text")).alias("t"))
+    found = spread(docs.select("text")).select(terms(F.col("text")).alias("t"))
     shifted = [F.when(F.size("t") > i, F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - i).alias("term"), F.slice("t", F.lit(1 + i), F.size("t") - i).alias("other"))) for i in range(1, reach + 1)]
     none = F.expr("array()").cast("array<struct<term:string,other:string>>")
     pairs = found.select(F.explode(F.concat(*(F.coalesce(x.cast("array<struct<term:string,other:string>>"), none) for x in shifted))).alias("p")).select("p.term", "p.other").where("term != other")
@@ -52,7 +52,7 @@ def edges_chunk_cooccur(docs: DataFrame, size: int = 500, stride: int = 400) ->
     """Terms of one chunk, however far apart; weight counts the chunks they share.
 
     A chunk's length bounds its pairs, which are made within its row and counted before the shuffle."""
-    found = chunk(docs, size, stride).select(F.array_sort(F.array_distinct(terms(F.col("text")))).alias("t"))
+    found = chunk(spread(docs.select("doc_id", "text")), size, stride).select(F.array_sort(F.array_distinct(terms(F.col("text")))).alias("t"))
     first = found.select("t", F.posexplode("t").alias("i", "src"))
     pairs = first.select("src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst"))
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -183,7 +183,7 @@ def count_triangles(a: pa.Array, b: pa.Array, colour_a: np.ndarray, colour_b: np
 
 def entities(docs: DataFrame, top: int = 3, size: int = 500, stride: int = 400) -> DataFrame:
     """Stand-in for a model's entity extraction: the ``top`` terms of each chunk by tf-idf over chunks."""
-    pieces = chunk(docs, size, stride).withColumn("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")))
+    pieces = chunk(spread(docs.select("doc_id", "text")), size, stride).withColumn("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")))
     found = materialized(postings(pieces))
     n = found.agg(F.count_distinct("doc_id").alias("n"))  # one row
     scored = found.join(doc_freq(found), "term").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("chunk"), "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df").cast("double")), 6).alias("weight"))

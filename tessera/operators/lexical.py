@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from .impact import impact_index, topk
-from .sizes import materialized, small
+from .sizes import materialized, small, spread
 from .text import tokenize
 
 K1, B = 1.2, 0.75
@@ -29,7 +29,7 @@ def weighted(docs: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame
     The texts are read and cut once. What is kept of them, with a row without a term for each
     document, is written; document frequencies, the number of documents and their mean length all
     come from that. Null texts count as documents without words."""
-    tokens = docs.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.greatest(F.size("t"), F.lit(0)).cast("long").alias("dl"), F.explode(F.concat(F.coalesce("t", F.array()), F.array(F.lit(None).cast("string")))).alias("term"))
+    tokens = spread(docs.select("doc_id", "text")).select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.greatest(F.size("t"), F.lit(0)).cast("long").alias("dl"), F.explode(F.concat(F.coalesce("t", F.array()), F.array(F.lit(None).cast("string")))).alias("term"))
     if words is not None:
         asked = words.select("term").unionByName(words.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "word")
         tokens = tokens.join(small(asked), F.col("term").eqNullSafe(F.col("word")), "left_semi")

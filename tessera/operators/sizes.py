@@ -25,6 +25,14 @@ def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """A table of fewer parts than there are cores dealt anew, each part over at most ``most``; one of many parts as it is.
+
+    For work on texts that costs far more than their shuffle."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(min(cores, most * parts)) if 0 < parts < cores else df
+
+
 def scratch(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; a folder of our own only on a local master, where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -191,6 +191,18 @@ def entities(docs: DataFrame, top: int = 3, size: int = 500, stride: int = 400)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def entity_edges(found: DataFrame) -> DataFrame:
+    """src, dst, weight: entities of one chunk, of which a chunk has a few; weight counts the chunks they share."""
+    lists = found.groupBy("chunk").agg(F.array_sort(F.collect_set("term")).alias("t"))
+    first = lists.select("t", F.posexplode("t").alias("i", "src"))
+    return first.select("src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def with_lone(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Labels, and each node without one as its own community."""
+    return labels.unionByName(nodes.select("node").distinct().join(labels, "node", "left_anti").withColumn("community", F.col("node")))
+
+
 def community_summary(labels: DataFrame, edges: DataFrame, texts: DataFrame, top: int = 3, top_terms: int = 5) -> DataFrame:
     """Stand-in for a model's summary of each community: its size, the ``top`` nodes by degree, the
     ``top_terms`` most frequent terms of its texts, and the chunk that holds most of these.

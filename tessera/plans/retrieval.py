@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexical, qa, text, vector
+from ..operators import balls, ivf, lexical, qa, text, vector
 from ..sources import load
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -107,17 +107,53 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.pack_context(hits, 6000).select("question_id", "rank", "doc_id", "used")
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extractive stand-in over each question's best document."""
+def _best_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, doc_id, question, context: each question with its best document."""
     top = bm25(spark, sf_dir).where("rank = 1").join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context")), "doc_id")
     asked = qa.first_questions(load(spark, sf_dir, "conversations")).withColumnRenamed("text", "question")
-    return qa.answer(top.join(asked, "question_id")).select("question_id", "doc_id", "answer")
+    return top.join(asked, "question_id").select("question_id", "doc_id", "question", "context")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractive stand-in over each question's best document."""
+    return qa.answer(_best_documents(spark, sf_dir)).select("question_id", "doc_id", "answer")
+
+
+def worker_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a Python function that each task sets up once."""
+    return qa.answer(_best_documents(spark, sf_dir), qa.worker_answer(qa.sentence_answerer)).select("question_id", "doc_id", "answer")
+
+
+def table_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a Python table function of sentences."""
+    return qa.answer_by_table(_best_documents(spark, sf_dir), ["question_id", "doc_id"])
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest`` approximately, from a stored index, probing two thirds of its cells: these vectors have no clusters."""
+    vectors = load(spark, sf_dir, "embeddings")
+    index = ivf.build(vectors)
+    return ivf.search(_asked(vectors), index, 5, probes=-(-2 * len(index.centres) // 3))
+
+
+def similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows against all: how many others have a cosine of 0.4, and the class these links make."""
+    return balls.similarity_classes(load(spark, sf_dir, "embeddings"), 0.4)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.session_stats(load(spark, sf_dir, "conversations"))
 
 
+ANSWERS = rf"""WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25},
+sentences AS (SELECT question_id, doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT question_id, doc_id, string_split(text, '.') AS s FROM ranked JOIN documents USING (doc_id) WHERE rank = 1)),
+judged AS (SELECT question_id, doc_id, i, s, len(list_intersect({WORDS.format('q.text')}, {WORDS.format('s')})) AS n FROM sentences JOIN questions q USING (question_id))
+SELECT question_id, doc_id, regexp_replace(arg_min(s, (-n, i)), '^\s+|\s+$', '', 'g') AS answer FROM judged GROUP BY question_id, doc_id"""
+SIMILAR = f"""WITH RECURSIVE pairs AS (SELECT q.vec_id AS a, d.vec_id AS b FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id
+  AND round({DOT} / sqrt({DOT.replace('d.embedding', 'q.embedding')} * {DOT.replace('q.embedding', 'd.embedding')}), 9) >= 0.4),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON r.seen = p.a)
+SELECT vec_id, coalesce(links, 0) AS links, class_id FROM embeddings LEFT JOIN (SELECT a, count(*) AS links FROM pairs GROUP BY a) ON a = vec_id JOIN (SELECT node, min(seen) AS class_id FROM reach GROUP BY node) ON node = vec_id"""
+
 QUERIES = {
     "t1_tokens": (token_positions, f"SELECT doc_id, len(t)::BIGINT AS tokens, len(t)::BIGINT - 1 AS last_pos, t[-1] AS last_term FROM (SELECT doc_id, {TERMS} AS t FROM documents) WHERE len(t) > 0"),
     "t2_pages_text": (html_text, rf"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {BARE} AS text FROM pages"),
@@ -130,7 +166,9 @@ QUERIES = {
     "l4_filtered_bm25": (filtered, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents WHERE lang = 'fr'), {BM25} SELECT * FROM ranked WHERE rank <= 3"),
     "v2_knn": (nearest, f"WITH {KNN}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM sims) SELECT * FROM r WHERE rank <= 5"),
     "v3_range_search": (within, f"WITH {KNN} SELECT * FROM sims WHERE score >= 0.3"),
+    "v3_similarity_classes": (similar_rows, SIMILAR),
     "v4_ann": (approximate, None),
+    "v4_stored_index": (stored_index, None),
     "v5_centroids": (centroids, "SELECT label, pos - 1 AS pos, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos"),
     "q1_qa_pairs": (pairs, "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"),
     "q2_history": (turn_history, "SELECT conv_id, turn, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), chr(10)) AS context FROM conversations"),
@@ -138,9 +176,8 @@ QUERIES = {
 b AS (WITH docs AS (SELECT * FROM documents WHERE lang = 'fr'), {BM25} SELECT * FROM ranked WHERE rank <= 3)
 SELECT question_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL"""),
     "q5_context": (context, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25}, hits AS (SELECT question_id, rank, doc_id, (sum(n_chars) OVER (PARTITION BY question_id ORDER BY rank))::BIGINT AS used FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5) SELECT * FROM hits WHERE used <= 6000"),
-    "q6_answers": (answers, rf"""WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25},
-sentences AS (SELECT question_id, doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT question_id, doc_id, string_split(text, '.') AS s FROM ranked JOIN documents USING (doc_id) WHERE rank = 1)),
-judged AS (SELECT question_id, doc_id, i, s, len(list_intersect({WORDS.format('q.text')}, {WORDS.format('s')})) AS n FROM sentences JOIN questions q USING (question_id))
-SELECT question_id, doc_id, regexp_replace(arg_min(s, (-n, i)), '^\s+|\s+$', '', 'g') AS answer FROM judged GROUP BY question_id, doc_id"""),
+    "q6_answers": (answers, ANSWERS),
+    "q6_worker_answers": (worker_answers, ANSWERS),
+    "q6_table_answers": (table_answers, ANSWERS),
     "q7_session_stats": (stats, "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS \"user\", count(*) FILTER (role = 'assistant') AS assistant, count(*) FILTER (role = 'system') AS system, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id"),
 }

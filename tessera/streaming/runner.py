@@ -3,32 +3,44 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..operators.sizes import scratch
 
 
-def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda batch: batch, arrivals: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+#: Settings of a stream with state of its own kind.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] = lambda batch: batch, arrivals: Sequence[Callable[[], None]] = (lambda: None,), settings: Mapping[str, str] | None = None) -> DataFrame:
     """Rows the stream has written when its sources are used up.
 
     append and update write each batch once, whatever is retried; complete keeps the last batch only.
     ``each`` makes of a batch what is written. The stream runs after each of ``arrivals``, going on
-    from its checkpoint, so these can add to its sources."""
+    from its checkpoint, so these can add to its sources. ``settings`` hold for the session while it runs."""
     spark = stream.sparkSession
     base = f"{scratch(spark)}/tessera/stream-{uuid.uuid4().hex}"
 
+    written: list[int] = []  # numbers of batches, on the driver
+
     def put(batch: DataFrame, number: int) -> None:
+        written.append(number)
         each(batch).write.mode("overwrite").parquet(f"{base}/out/{'all' if mode == 'complete' else f'batch={number}'}")
 
-    ran = False
-    for arrive in arrivals:
-        arrive()
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
-        query.awaitTermination()
-        ran = ran or query.lastProgress is not None
-    if not ran:
-        return each(spark.createDataFrame([], stream.schema))
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        for arrive in arrivals:
+            arrive()
+            query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     path = f"{base}/out/all" if mode == "complete" else f"{base}/out"
+    if not written:  # no batch came
+        return each(spark.createDataFrame([], stream.schema))
     return spark.read.parquet(path).drop("batch")

@@ -32,7 +32,7 @@ from .shared import arrow_of, id_and_text, read, slices, stored
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 1024
 LENGTH = 4096
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def projection(n_ids: int, dimensions: int = DIMENSIONS) -> np.ndarray:

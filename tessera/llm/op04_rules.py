@@ -44,7 +44,7 @@ TREES, DEPTH = 24, 4
 SUBSAMPLE = 0.7
 PENALTY = 2e-4
 SEED = 11
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 FIRED_ROWS = 1000
 
 _KIND = np.zeros((256, 8), bool)  # letters, upper, digits, marks, symbols, spaces, "!", "|"

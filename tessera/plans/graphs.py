@@ -54,6 +54,10 @@ def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.khop(_edges(spark, sf_dir), _seeds(spark, sf_dir), 2)
 
 
+def two_hops_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.khop_recursive(_edges(spark, sf_dir), _seeds(spark, sf_dir), 2)
+
+
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(_edges(spark, sf_dir))
 
@@ -242,13 +246,16 @@ told AS (SELECT conv_id, turn, count(*) AS communities FROM chosen GROUP BY ALL)
 SELECT q.conv_id, q.turn, coalesce(communities, 0) AS communities, community, regexp_replace(s, '^\s+|\s+$', '', 'g') AS answer
 FROM questions q LEFT JOIN told USING (conv_id, turn) LEFT JOIN judged j ON j.conv_id = q.conv_id AND j.turn = q.turn AND best = 1"""
 
+TWO_HOPS = f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE {SEEDS}), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)), h2 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"
+
 QUERIES = {
     "g1_page_edges": (page_edges, f"WITH {EDGES} SELECT * FROM edges"),
     "g2_knn_edges": (knn_edges, "WITH s AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_sum([a[1]::DOUBLE * a[2]::DOUBLE FOR a IN list_zip(q.embedding, d.embedding)]), 9) AS weight FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM s) WHERE r <= 3"),
     "g3_cooccurrence": (cooccurrence, f"WITH {_cooccur('documents')} SELECT * FROM cooccur"),
     "g3_chunk_cooccurrence": (chunk_cooccurrence, CHUNK_COOCCUR),
     "g4_degree": (degrees, f"WITH {EDGES} SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY src"),
-    "g5_khop": (two_hops, f"WITH {EDGES}, h0 AS (SELECT 'p' || page_id AS node FROM pages WHERE {SEEDS}), h1 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h0)), h2 AS (SELECT dst AS node FROM both_ways WHERE src IN (SELECT node FROM h1)) SELECT node, min(hop)::INTEGER AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
+    "g5_khop": (two_hops, TWO_HOPS),
+    "g5_khop_recursive": (two_hops_recursive, TWO_HOPS),
     "g6_components": (connected, f"WITH RECURSIVE {EDGES}, reach(node, seen) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src) SELECT node, min(seen) AS component FROM reach GROUP BY node"),
     "g7_pagerank": (ranks, f"WITH {EDGES}, {PAGERANK} SELECT node, round(rank, 9) AS rank FROM r5"),
     "g8_communities": (labels, f"WITH {EDGES}, {LABELS} SELECT * FROM l3"),

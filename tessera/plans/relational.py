@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sketches import count_min, count_min_estimate
+from ..operators.inequality import inequality_join, numbered
 from ..operators.sizes import small
 from ..operators.temporal import asof_join, range_join
 from ..sources import load
@@ -82,8 +84,20 @@ def ranked_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    return load(spark, d, "customer").select("c_custkey", F.ntile(4).over(order).alias("quarter"), F.round(F.percent_rank().over(order), 9).alias("pct"), F.round(F.cume_dist().over(order), 9).alias("cume"), F.dense_rank().over(Window.partitionBy("c_mktsegment").orderBy("c_nationkey")).alias("dense"))
+    """Ranks of customers by balance within their segments. There are few segments, so rows are numbered by ranges over all tasks."""
+    rows = numbered(load(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"), "c_mktsegment", ["c_acctbal", "c_custkey"])
+    size, more = F.floor(F.col("n") / 4), F.col("n") % 4  # the first tiles have a row more
+    tile = F.when(F.col("rn") <= more * (size + 1), F.ceil(F.col("rn") / (size + 1))).otherwise(more + F.ceil((F.col("rn") - more * (size + 1)) / size))
+    nations = rows.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("k"))  # a row for each segment and nation
+    order = Window.partitionBy("c_mktsegment").orderBy("c_nationkey")
+    ranks = nations.select("c_mktsegment", "c_nationkey", F.dense_rank().over(order).alias("dense"), (F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int").alias("rank"))
+    return rows.join(ranks, ["c_mktsegment", "c_nationkey"]).select("c_custkey", tile.cast("int").alias("quarter"), F.round(F.try_divide(F.col("rn") - 1, F.col("n") - 1), 9).alias("pct"), F.round(F.col("rn") / F.col("n"), 9).alias("cume"), "dense", "rank")
+
+
+def top_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of the three highest ranks of priority for each customer; equals share a rank."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    return load(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(order).alias("rank"), F.dense_rank().over(order).alias("dense")).where("rank <= 3")
 
 
 def moving_sum(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +155,13 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statistics(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "lineitem").groupBy("l_returnflag")
-    return rows.agg(F.round(F.stddev("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_discount"), 9).alias("var"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"), F.round(F.median("l_extendedprice"), 4).alias("median"), F.count_distinct("l_partkey").alias("parts"))
+    """Moments, correlation and distinct parts of each flag, and its exact median from rows numbered by ranges, as flags are few."""
+    lines = load(spark, d, "lineitem")
+    told = lines.groupBy("l_returnflag").agg(F.round(F.stddev("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_discount"), 9).alias("var"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"), F.count_distinct("l_partkey").alias("parts"))
+    prices = numbered(lines.select("l_returnflag", "l_extendedprice"), "l_returnflag", ["l_extendedprice"])
+    middle = (F.col("rn") == F.floor((F.col("n") + 1) / 2)) | (F.col("rn") == F.floor((F.col("n") + 2) / 2))
+    medians = prices.where(middle).groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("median"))
+    return told.join(medians, "l_returnflag")
 
 
 def sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +172,21 @@ def sketches(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem")
     whole = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"), F.approx_percentile("l_extendedprice", 0.5, 10000).alias("p"))
     rank = lines.join(whole.select("l_returnflag", "p"), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("p")).cast("double")).alias("rank"))
-    return own.join(whole, "l_returnflag").join(rank, "l_returnflag").select("l_returnflag", "distinct_within", near(F.hll_sketch_estimate("s")).alias("merged_within"), F.col("rank").between(0.49, 0.51).alias("median_within"))
+    return own.join(whole, "l_returnflag").join(rank, "l_returnflag").select("l_returnflag", F.col("exact").alias("parts"), "distinct_within", near(F.hll_sketch_estimate("s")).alias("merged_within"), F.col("rank").between(0.49, 0.51).alias("median_within"))
+
+
+def supplier_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each supplier by a count-min sketch so fine that keys as few as these don't meet in all its rows."""
+    sketch = count_min(load(spark, d, "lineitem"), "l_suppkey", error=0.0001)
+    return load(spark, d, "supplier").select("s_suppkey", count_min_estimate(F.col("s_suppkey"), sketch).alias("lines"))
+
+
+def price_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders within each customer's range of prices, most of which are narrow and some very wide, by a join on two inequalities."""
+    wide = F.when(F.col("c_custkey") % 50 == 0, 100_000.0).otherwise(50.0)
+    ranges = load(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 30).alias("low"), (F.col("c_acctbal") * 30 + wide).alias("high"))
+    met = inequality_join(load(spark, d, "orders"), ranges, ("o_totalprice", ">=", "low"), ("o_totalprice", "<", "high"), "o_orderkey", "c_custkey")
+    return met.groupBy(F.col("right_id").alias("c_custkey")).agg(F.count("*").alias("n"), F.min("left_id").alias("first"))
 
 
 def maps(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +228,7 @@ QUERIES = {
     "r9_semi_join": (with_returns, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1"),
     "r10_outer_joins": (outer_counts, "SELECT n_name, rich, sellers FROM nation LEFT JOIN ((SELECT c_nationkey, count(*) AS rich FROM customer WHERE c_acctbal > 9000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS sellers FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) ON c_nationkey = s_nationkey) ON n_nationkey = coalesce(c_nationkey, s_nationkey)"),
     "r11_ranked": (ranked_orders, "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS rn, lag(o_orderkey) OVER w AS before, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn <= 3"),
-    "r12_quantiles": (quantiles, "SELECT c_custkey, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS pct, round(cume_dist() OVER w, 9) AS cume, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS dense FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)"),
+    "r12_quantiles": (quantiles, "SELECT c_custkey, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS pct, round(cume_dist() OVER w, 9) AS cume, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS dense, (rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey))::INTEGER AS rank FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)"),
     "r13_range_frame": (moving_sum, "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 600 PRECEDING AND CURRENT ROW), 6) AS moving FROM events"),
     "r14_sets": (set_operations, "SELECT c_nationkey AS k, 'both' AS part FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier UNION (SELECT c_nationkey, 'buyers' FROM customer EXCEPT SELECT s_nationkey, 'buyers' FROM supplier) UNION SELECT k, 'surplus' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)"),
     "r15_pivot": (pivoted, "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1"),
@@ -207,9 +240,12 @@ QUERIES = {
     "r21_strings": (strings, "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 1, 4) AS head, length(c_name) AS n, reverse(c_name) AS back, lpad(c_custkey::VARCHAR, 8, '0') AS padded, md5(c_name) AS digest FROM customer"),
     "r22_dates": (dates, "SELECT year(o_orderdate)::INTEGER AS y, quarter(o_orderdate)::INTEGER AS q, count(*) AS n, count(DISTINCT dayofweek(o_orderdate)) AS weekdays, max(last_day(o_orderdate::DATE) - o_orderdate::DATE) AS most_left FROM orders GROUP BY 1, 2"),
     "r23_statistics": (statistics, "SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_discount), 9) AS var, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(median(l_extendedprice), 4) AS median, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1"),
-    "r24_sketches": (sketches, "SELECT DISTINCT l_returnflag, true AS distinct_within, true AS merged_within, true AS median_within FROM lineitem"),
+    "r24_sketches": (sketches, "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS distinct_within, true AS merged_within, true AS median_within FROM lineitem GROUP BY l_returnflag"),
+    "r24_top_ranks": (top_ranks, "SELECT * FROM (SELECT o_custkey, o_orderkey, (rank() OVER w)::INTEGER AS rank, (dense_rank() OVER w)::INTEGER AS dense FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)) WHERE rank <= 3"),
     "r25_maps": (maps, "SELECT event_id, 'k' AS keys, 2 * (props->>'k')::BIGINT AS doubled, CASE WHEN 2 * (props->>'k')::BIGINT >= 100 THEN 1 ELSE 0 END::BIGINT AS large, (props->>'k')::BIGINT AS k, user_id AS \"user\" FROM events"),
     "r26_nth_value": (second_orders, "SELECT DISTINCT o_custkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders"),
     "r27_intersect_all": (common_nations, "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) GROUP BY k"),
     "r28_offset": (middle_parts, "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50"),
+    "r29_count_min": (supplier_counts, "SELECT s_suppkey, count(l_suppkey) AS lines FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey"),
+    "r30_inequality_join": (price_ranges, "SELECT c_custkey, count(*) AS n, min(o_orderkey) AS first FROM orders JOIN customer ON o_totalprice >= c_acctbal * 30 AND o_totalprice < c_acctbal * 30 + CASE WHEN c_custkey % 50 = 0 THEN 100000 ELSE 50 END GROUP BY c_custkey"),
 }

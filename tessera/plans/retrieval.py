@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import balls, ivf, lexical, qa, text, vector
-from ..sources import load
+from ..operators.sizes import scratch
+from ..sources import load, save, save_bucketed
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -43,6 +46,35 @@ def term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.doc_freq(term_counts(spark, sf_dir))
 
 
+def _table_name(kind: str) -> str:
+    return f"tessera_{kind}_{uuid.uuid4().hex}"
+
+
+def bucketed_rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its terms that no or one other document has: postings and document frequencies are stored in the same buckets of terms and joined without a shuffle."""
+    found = term_counts(spark, sf_dir)
+    posts = save_bucketed(found, _table_name("postings"), f"{scratch(spark)}/tessera/{_table_name('postings')}", ["term"], 16)
+    freqs = save_bucketed(lexical.doc_freq(posts), _table_name("df"), f"{scratch(spark)}/tessera/{_table_name('df')}", ["term"], 16)
+    return rare_terms(posts, freqs)
+
+
+def rare_terms(posts: DataFrame, freqs: DataFrame) -> DataFrame:
+    return posts.join(freqs.where("df <= 2"), "term").groupBy("doc_id").agg(F.count("*").alias("rare"), F.sum("tf").alias("occurrences"))
+
+
+def partitioned_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies within the languages that have very long documents, from postings stored by language: the join prunes the partitions while it runs."""
+    docs = load(spark, sf_dir, "documents")
+    path = f"{scratch(spark)}/tessera/{uuid.uuid4().hex}"
+    save(lexical.postings(docs.select(F.struct("doc_id", "lang").alias("doc_id"), "text")).select("doc_id.doc_id", "doc_id.lang", "term", "tf"), path, ["lang"])
+    return postings_of_languages(spark.read.schema("doc_id long, term string, tf long, lang string").parquet(path), docs)
+
+
+def postings_of_languages(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    wanted = docs.where("n_chars > 15000").select("lang").distinct()
+    return posts.join(wanted, "lang").groupBy("lang", "term").agg(F.count("*").alias("df"))
+
+
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.tokenize(load(spark, sf_dir, "documents"))
     return found.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.max("pos").cast("long").alias("last_pos"), F.max_by("term", "pos").alias("last_term"))
@@ -162,6 +194,8 @@ QUERIES = {
     "t7_whitespace": (collapsed, r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents"),
     "l1_postings": (term_counts, f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL"),
     "l2_doc_freq": (term_documents, f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term"),
+    "s1_bucketed_join": (bucketed_rare_terms, f"WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT doc_id, count(*) AS rare, sum(tf)::BIGINT AS occurrences FROM post JOIN df USING (term) WHERE df <= 2 GROUP BY doc_id"),
+    "s1_partitioned_postings": (partitioned_postings, f"SELECT lang, term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, lang, unnest({TERMS}) AS term FROM documents) WHERE lang IN (SELECT lang FROM documents WHERE n_chars > 15000) GROUP BY ALL"),
     "l3_bm25": (bm25, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents), {BM25} SELECT * FROM ranked WHERE rank <= 5"),
     "l4_filtered_bm25": (filtered, f"WITH {QUESTIONS}, docs AS (SELECT * FROM documents WHERE lang = 'fr'), {BM25} SELECT * FROM ranked WHERE rank <= 3"),
     "v2_knn": (nearest, f"WITH {KNN}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM sims) SELECT * FROM r WHERE rank <= 5"),

@@ -1,5 +1,5 @@
 """Reading and writing tables."""
 
-from .tables import load, save
+from .tables import load, save, save_bucketed
 
-__all__ = ["load", "save"]
+__all__ = ["load", "save", "save_bucketed"]

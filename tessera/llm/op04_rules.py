@@ -14,7 +14,7 @@ Defined results: null and empty texts have statistics of 0 and get a score like
 are null or name no document are not used; of several labels for one id the largest counts, and of
 several texts with one id the one whose statistics sort first is learned from; with labels of one
 kind only, or none, every score is that kind's share (0.5 without any); repeated rows are scored
-each; an empty table gives an empty result; other columns of the input are not read, whatever their
+each; very long texts are read whole, in time and memory linear in their length; an empty table gives an empty result; other columns of the input are not read, whatever their
 names, and ``good_documents`` gives them back as they were.
 """
 

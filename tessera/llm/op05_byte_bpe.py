@@ -12,7 +12,8 @@ Decoding looks up the ids' strings in the library's vocabulary and reverses the
 printable character goes back to its byte. A token may hold part of a character, so bytes are put
 together before they are read as UTF-8, and ``StreamDecoder`` holds back an unfinished character.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; special strings are
+Defined results: a null or empty text has no ids and decodes to no bytes; very long texts are encoded
+whole, cut by cut; special strings are
 ordinary text; repeated rows are encoded each; an empty table gives an empty result; other columns
 of the input are not read.
 """

@@ -10,7 +10,8 @@ letters is the score (equal shares: the language that sorts first).
 The trigram and script counts cover every learned document; they are summed by Spark and are as
 many as languages times buckets, however large the corpus.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; with nothing
+Defined results: null texts and texts without a letter are ``und`` with score 0; very long texts are
+judged by all of their words; with nothing
 learned every text is ``und``; repeated rows are judged each; an empty table gives an empty result;
 other columns of the input are not read.
 """

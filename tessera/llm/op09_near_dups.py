@@ -17,6 +17,8 @@ themselves and with the bucket's other blocks. A comparison gives at most one li
 as only links that join two components are given. So every pair that shares a bucket is either
 in one class or has been compared.
 
+Very long texts are read whole; their shingles count all.
+
 Result: one row per document with class_id (the smallest doc_id of its class) and keep (true for
 one row of each class). Null texts count as empty; texts without words are copies if they are
 equal; null ids come last and give a null class_id where a class has no other; repeated rows are

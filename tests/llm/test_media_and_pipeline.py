@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
-from cases import CLASHING, ODD, counted, documents, held_out, no_docs, odd_docs, same_rows_left, tables_of  # noqa: E402
+from cases import CLASHING, ODD, counted, documents, held_out, no_docs, odd_docs, same_rows_left, tables_of, with_clashes  # noqa: E402
 from test_pairs import classes  # noqa: E402
 from test_tokens import check_pieces  # noqa: E402
 
@@ -176,13 +176,18 @@ def test_stages_leave_columns_of_any_name_alone(spark, sf):
 
 def test_registered_queries_stand_odd_rows_and_empty_tables(spark, tmp_path):
     labels = spark.createDataFrame([(1, 1), (8, 0), (4, 1), (4, 0), (None, 1), (9, None)], "doc_id long, quality int")
-    names = [x for x in registry.queries() if x.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op8", "op9", "op10")]
-    assert len(names) == 8
-    odd = tables_of(tmp_path / "odd", documents=odd_docs(spark), labels=labels)
-    none = tables_of(tmp_path / "none", documents=no_docs(spark), labels=labels.limit(0))
+    whole = ("op6_dual_tree_top_k", "op7_url_filter", "op12_delta_lloyd")  # of tables other than documents
+    names = [x for x in registry.queries() if x not in whole]
+    vectors = with_clashes(spark.createDataFrame([(0, 1, [1.0, 0.5]), (0, None, [0.5, 1.0]), (20, 2, None), (21, 2, [None, 1.0]), (None, 1, [1.0, 1.0]), (3, None, [])], "vec_id long, label int, embedding array<double>"))
+    pages = with_clashes(spark.createDataFrame([(1, "http://example.com/en/"), (1, "http://example.com/en/"), (None, None), (2, "")], "page_id long, url string"))
+    odd = tables_of(tmp_path / "odd", documents=odd_docs(spark), labels=labels, embeddings=vectors, pages=pages)
+    none = tables_of(tmp_path / "none", documents=no_docs(spark), labels=labels.limit(0), embeddings=vectors.limit(0), pages=pages.limit(0))
+    for name, n in zip(whole, (4, 4, 4), strict=True):  # of op6 two queries of id 0, which meet each other and id 3
+        assert registry.queries()[name](spark, odd).count() == n, name
+        assert registry.queries()[name](spark, none).count() == 0, name
     for name in names:
         rows = registry.queries()[name](spark, odd).collect()
-        assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in ODD) or name == "op3_curve_packing", name
+        assert name in ("op3_curve_packing", "op13_collocations") or Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in ODD), name
         assert registry.queries()[name](spark, none).count() == 0, name
         if name == "op4_rule_ensemble":
             assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == held_out(r["doc_id"]) for r in rows)

@@ -6,7 +6,7 @@ last give the rows they keep with the columns of ``documents``, whatever else th
 
 Defined results: each stage says what it does with null and empty texts. Of rows that repeat an id and
 a text, the first two stages judge each alike and the third keeps one. An empty table gives an empty
-result at every stage.
+result at every stage. Very long texts are read whole by all of them.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ A word is a run of letters. Its score for a language is the sum of log probabili
 trigrams (each letter with its neighbours, lower-cased, hashed to ``BUCKETS``), counted over the
 learned documents. The script of its first letter narrows the candidates to the languages that use
 the script. Viterbi finds the best sequence of languages when each switch costs ``SWITCH``; runs of
-words of one language are the spans. A text's language has the most letters, and its share of the
+words of one language are the spans; the query gives them as ``start-end:language``, in characters. A text's language has the most letters, and its share of the
 letters is the score (equal shares: the language that sorts first).
 
 The trigram and script counts cover every learned document; they are summed by Spark and are as
@@ -184,14 +184,22 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, Word
     return [model.languages[i] if n else "und" for i, n in zip(top, total, strict=True)], share, words, path
 
 
+def runs_of(texts: list[str], words: Words, path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of runs of words of one language in each text; start, end (in the text's characters) and language of each run."""
+    doc = np.repeat(np.arange(len(texts)), words.counts)
+    first = np.flatnonzero((np.diff(path.astype(np.int64), prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    last = np.concatenate([first[1:], [len(path)]])[: len(first)] - 1
+    own = doc[first]
+    base = np.cumsum([0, *(len(t) + 1 for t in texts)])[own]
+    return np.bincount(own, minlength=len(texts)), words.places[first] - base, (words.places + words.letters)[last] - base, path[first]
+
+
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, language) of the runs of words of one language, in characters."""
-    _, _, words, path = predict([text], model)
-    if not len(path) or not model.languages:
+    if not model.languages:
         return []
-    cut = np.flatnonzero(np.diff(path.astype(np.int64), prepend=-1))
-    ends = words.places + words.letters
-    return [(int(words.places[a]), int(ends[z - 1]), model.languages[path[a]]) for a, z in zip(cut, [*cut[1:], len(path)], strict=True)]
+    _, _, words, path = predict([text], model)
+    return [(a, z, model.languages[i]) for a, z, i in zip(*(x.tolist() for x in runs_of([text], words, path)[1:]), strict=True)]
 
 
 def slice_bytes(model: Model) -> int:
@@ -208,11 +216,13 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
         schema = arrow_of(ddl)
         for b in slices(batches, "text", least):
             texts = b.column("text").to_pylist()
-            found, share, *_ = predict(texts, model)
+            found, share, words, path = predict(texts, model)
             columns = [b.column("doc_id"), pa.array(found, pa.string()), pa.array(share, pa.float64())]
             if with_spans:
-                cut = [spans(t, model) for t in texts]
-                columns += [pa.array([[s[i] for s in x] for x in cut], schema.types[3 + i]) for i in range(3)]
+                counts, *parts = runs_of(texts, words, path) if model.languages else (np.zeros(len(texts), np.int64), *[np.zeros(0, np.int64)] * 3)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                langs = pa.DictionaryArray.from_arrays(pa.array(parts[2], pa.int32()), pa.array(model.languages, pa.string())).cast(pa.string())
+                columns += [pa.ListArray.from_arrays(ends, x) for x in (pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int32()), langs)]
             yield pa.record_batch(columns, schema=schema)
 
     return id_and_text(docs).mapInArrow(run, ddl)
@@ -236,5 +246,6 @@ def learned_fold(docs: DataFrame) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = identify(docs, learn(learned_fold(docs)))
-    return found.select("doc_id", held_out_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify(docs, learn(learned_fold(docs)), with_spans=True)
+    told = F.transform(F.arrays_zip("span_start", "span_end", "span_lang"), lambda x: F.concat(x["span_start"].cast("string"), F.lit("-"), x["span_end"].cast("string"), F.lit(":"), x["span_lang"]))
+    return found.select("doc_id", held_out_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("span_lang").cast("long").alias("n_spans"), F.array_join(told, " ").alias("spans"))

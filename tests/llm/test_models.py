@@ -126,6 +126,24 @@ def test_spans_of_mixed_text(spark):
         at += len(part) + 3
     assert op08_language.spans(text, model) == want
     assert op08_language.spans("12 !", model) == []
+    texts = ["", text, None, "12", parts[1], text + "\n" + parts[0], " \U00020000 " + parts[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op08_language.identify(docs, model, with_spans=True).collect():  # texts of one batch as each by itself
+        assert list(zip(r["span_start"], r["span_end"], r["span_lang"], strict=True)) == op08_language.spans(texts[r["doc_id"]] or "", model)
+
+
+def test_spans_of_the_query(spark):
+    said = {r["doc_id"]: r["text"] for r in documents(spark, LARGER).collect()}
+    for r in registry.queries()["op8_language_id"](spark, LARGER).collect():
+        cut = [(*map(int, x.split(":")[0].split("-")), x.split(":")[1]) for x in r["spans"].split()]
+        assert len(cut) == r["n_spans"] and all(a[1] <= b[0] and a[2] != b[2] for a, b in zip(cut, cut[1:], strict=False))
+        letters = {}
+        for a, z, lang in cut:
+            assert said[r["doc_id"]][a].isalpha() and said[r["doc_id"]][z - 1].isalpha()
+            letters[lang] = letters.get(lang, 0) + sum(c.isalpha() for c in said[r["doc_id"]][a:z])
+        assert sum(letters.values()) == sum(c.isalpha() for c in said[r["doc_id"]] or "")
+        top = max(letters, key=lambda x: (letters[x], x == r["lang_pred"]), default="und")
+        assert top == r["lang_pred"] and abs(r["score"] - letters.get(top, 0) / max(1, sum(letters.values()))) < 1e-9
 
 
 def test_scripts_narrow_the_candidates(spark):

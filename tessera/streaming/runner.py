@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from ..operators import live
 from ..operators.sizes import scratch
 
 
@@ -44,3 +45,19 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame],
     if not written:  # no batch came
         return each(spark.createDataFrame([], stream.schema))
     return spark.read.parquet(path).drop("batch")
+
+
+def indexed(documents: DataFrame, path: str, merge_at: int = 8, shard: int = live.SHARD) -> None:
+    """Adds what has come of a stream of documents (doc_id, text) to the live index in ``path``, a segment for each batch.
+
+    The stream goes on from its checkpoint, which lies with the index, so each call adds only what is new; a batch that is
+    run again takes the place of its first run. When there are ``merge_at`` small segments they are merged."""
+    spark = documents.sparkSession
+    live.create(spark, path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        live.add(path, batch, f"batch-{number:09}", shard)
+        if live.small_segments(spark, path, shard).count() >= merge_at:
+            live.merge(spark, path, shard, shard)
+
+    documents.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()

@@ -57,3 +57,40 @@ def test_a_block_gives_all_that_may_be_best(k):
     for q in range(50):
         best = sorted((-s, v) for v, s in enumerate(y @ x[q]) if v != q)[:k]
         assert set(best) <= {(-s, v) for s, v in zip(score[i == q], j[i == q], strict=True)}
+
+
+def test_recursive_hops_have_no_row_for_each_walk(spark):
+    from tessera.operators import graph
+
+    n = 110  # 3 n ** 3 walks of three steps from one seed
+    edges = spark.createDataFrame([(f"p{i}", f"l{j}") for i in range(n) for j in range(n)], "src string, dst string")
+    seeds = spark.createDataFrame([("p0",)], "node string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.khop_recursive(edges, seeds, 3)) == rows(graph.khop(edges, seeds, 3))
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        assert graph.khop_recursive(edges, seeds, 2).count() == 2 * n
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "100"
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
+def test_counts_of_more_keys_than_the_sketch_has_cells(spark):
+    from tessera.functions.sketches import count_min, count_min_exact
+
+    rows = spark.range(60_000).selectExpr("id % 3001 * 7 as k")
+    keys = spark.range(3_005).selectExpr("id * 7 as key")
+    for error in (0.1, 0.002, 0.0001):
+        found = dict(map(tuple, count_min_exact(keys, rows, "k", count_min(rows, "k", error=error)).collect()))
+        assert found == {7 * i: (60_000 + 3_000 - i) // 3_001 if i < 3_001 else 0 for i in range(3_005)}
+
+
+def test_lines_of_many_suppliers(spark, tmp_path):
+    from tessera import plans
+
+    spark.range(30_000).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(300_000).selectExpr("pmod(xxhash64(id), 30010) as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.queries()["r29_count_min"](spark, str(tmp_path)).collect()
+    told = dict(map(tuple, spark.sql(f"SELECT s_suppkey, count(l_suppkey) FROM parquet.`{tmp_path}/supplier.parquet` LEFT JOIN parquet.`{tmp_path}/lineitem.parquet` ON l_suppkey = s_suppkey GROUP BY s_suppkey").collect()))
+    assert dict(map(tuple, found)) == told

@@ -26,11 +26,16 @@ def opened(sketch: bytes) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def estimates(sketch: bytes, keys: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(opened(sketch)[2], _cells(sketch, keys), axis=1).min(axis=0)
+
+
+def _cells(sketch: bytes, keys: np.ndarray) -> np.ndarray:
+    """The cell of each key (columns) in each row of the table."""
     _, factors, table = opened(sketch)
     with np.errstate(over="ignore"):
         hashed = factors[:, None] * keys.astype(np.int64)[None, :]
         hashed = (hashed + (hashed >> 32)) & PRIME
-    return np.take_along_axis(table, hashed % table.shape[1], axis=1).min(axis=0)
+    return hashed % table.shape[1]
 
 
 def count_min_estimate(key: Column, sketch: bytes) -> Column:
@@ -43,3 +48,27 @@ def count_min_estimate(key: Column, sketch: bytes) -> Column:
             yield pd.Series(estimates(sketch, keys.fillna(0).to_numpy().astype(np.int64)), dtype="Int64").where(known)
 
     return run(key.cast("long"))
+
+
+def count_min_exact(keys: DataFrame, rows: DataFrame, key: str, sketch: bytes) -> DataFrame:
+    """key (long, not null), n: the true count in ``rows`` of each of ``keys``, from the sketch of ``rows``.
+
+    The sketch is right for a key that has one of its cells for itself among all keys of either table. Those
+    that meet others in all their cells, which are few as long as the sketch is fine for the keys, are counted in the
+    rows themselves."""
+
+    @F.pandas_udf("array<int>")
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(list(_cells(sketch, b.to_numpy()).T.astype(np.int32)), dtype=object)
+
+    own = lambda df, name: df.select(F.col(name).cast("long").alias("key")).where("key is not null")
+    name = keys.columns[0]
+    every = own(keys, name).unionAll(own(rows, key)).distinct()
+    at = every.select("key", F.posexplode(cells("key")).alias("row", "cell"))
+    alone = at.groupBy("row", "cell").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").select("key").distinct()
+    asked = own(keys, name).distinct()
+    sure = asked.join(alone, "key", "left_semi").select("key", count_min_estimate(F.col("key"), sketch).alias("n"))
+    rest = asked.join(alone, "key", "left_anti")
+    counted = own(rows, key).join(rest, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    return sure.unionByName(rest.join(counted, "key", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n")))

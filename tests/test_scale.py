@@ -94,3 +94,26 @@ def test_lines_of_many_suppliers(spark, tmp_path):
     found = plans.queries()["r29_count_min"](spark, str(tmp_path)).collect()
     told = dict(map(tuple, spark.sql(f"SELECT s_suppkey, count(l_suppkey) FROM parquet.`{tmp_path}/supplier.parquet` LEFT JOIN parquet.`{tmp_path}/lineitem.parquet` ON l_suppkey = s_suppkey GROUP BY s_suppkey").collect()))
     assert dict(map(tuple, found)) == told
+
+
+@pytest.mark.parametrize("block", [1, 7, 8_192])
+def test_points_of_ranges_are_counted_without_a_row_for_each(spark, block):
+    from tessera.operators.inequality import range_counts
+
+    draw = random.Random(5)
+    points = [(1_000 - i, draw.choice([draw.randint(0, 40) / 2, None, float("nan"), -0.0])) for i in range(400)]
+    ranges = [(i, *sorted(draw.choice([draw.randint(-4, 50) / 2, -0.0]) for _ in range(2))) for i in range(200)] + [(200, None, 3.0), (201, 3.0, 1.0), (202, float("-inf"), float("inf"))]
+    found = range_counts(spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(ranges, "r long, low double, high double"), "x", "p", "low", "high", "r", block)
+    told = []
+    for r, low, high in ranges:
+        ids = [i for i, x in points if x is not None and low is not None and low <= x < high]
+        if ids:
+            told.append((r, len(ids), min(ids)))
+    assert sorted(map(tuple, found.collect())) == told
+
+
+def test_terms_of_a_text_are_no_rows(spark, sf):
+    from tessera import plans
+
+    df = plans.queries()["t1_tokens"](spark, sf)
+    assert "Generate" not in df._jdf.queryExecution().toString()

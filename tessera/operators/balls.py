@@ -25,6 +25,8 @@ from .vector import finite
 
 SAMPLE, MOST_PIVOTS = 4_096, 1_024
 BLOCK = 2_048
+PLACED = 256  # rows whose balls are looked for at once
+CELL, STRIP = 16_384, 256  # rows of a block of ``linked``, and those that are compared or skipped together
 SLACK = 1e-9  # of distances and cosines, which are rounded to nine places
 
 
@@ -54,12 +56,14 @@ def placed(units: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
     ddl = "ball int, home boolean, away double, rep long, v array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, PLACED) for whole in batches for i in range(0, whole.num_rows, PLACED)):
             x = matrix(b.column("v"), width)
             away = np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)))
             at = away.argmin(axis=1)
             row, ball = np.nonzero(away <= away[np.arange(len(x)), at][:, None] + 2 * reach + 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(ball.astype(np.int32)), pa.array(at[row] == ball), pa.array(away[row, ball]), b.column("rep").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["ball", "home", "away", "rep", "v"])
+            for i in range(0, len(row), BLOCK):  # a row may be a guest of most balls
+                r, at_ball = row[i : i + BLOCK], ball[i : i + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(at_ball.astype(np.int32)), pa.array(at[r] == at_ball), pa.array(away[r, at_ball]), b.column("rep").take(pa.array(r)), b.column("v").take(pa.array(r))], names=["ball", "home", "away", "rep", "v"])
 
     return units.select("rep", "v").mapInArrow(run, ddl)
 
@@ -88,6 +92,106 @@ def block_pairs(home: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], lea
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
+def joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of all nodes (each the smallest number of its class) after the classes of each i and j are joined; ``parent`` has roots."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
+def block_links(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, least: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """links of the rows of ``left``, those of ``right`` (copies of what they are linked to; both sides are copies and vectors), and the roots of all in one row of numbers.
+
+    ``right`` is None for links within ``left``. Rows that lie near each other should stand together: strips of them are skipped where their
+    centres are too far apart. Links are counted and their classes joined strip by strip, so no pair is kept. ``met`` takes the number of pairs that were compared."""
+    (copies, x), (others, y) = left, right or left
+    n, reach = len(x), np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    links, back = np.zeros(n, np.int64), np.zeros(len(y), np.int64)
+    parent = np.arange(n + (0 if right is None else len(y)))
+    shift = 0 if right is None else n
+
+    def strips(v: np.ndarray) -> list[tuple[int, np.ndarray, float]]:
+        out = []
+        for a in range(0, len(v), STRIP):
+            centre = v[a : a + STRIP].mean(axis=0)
+            out.append((a, centre, float(np.sqrt(((v[a : a + STRIP] - centre) ** 2).sum(axis=1).max()))))
+        return out
+
+    ends = strips(y)
+    starts, centres, radii = np.array([e[0] for e in ends], int), np.array([e[1] for e in ends]).reshape(len(ends), -1), np.array([e[2] for e in ends])
+    for a, centre, radius in strips(x):
+        near = starts[np.sqrt(((centres - centre) ** 2).sum(axis=1)) <= radius + radii + reach]
+        if not len(near):
+            continue
+        at = np.concatenate([np.arange(b, min(b + STRIP, len(y))) for b in near])
+        for b in range(0, len(at), 4 * STRIP):  # bounds the pairs held at once
+            cols = at[b : b + 4 * STRIP]
+            cosines = x[a : a + STRIP] @ y[cols].T
+            if met is not None:
+                met.append(cosines.size)
+            i, j = np.nonzero(cosines >= least - 2 * SLACK)
+            keep = np.round(cosines[i, j], 9) >= least - SLACK / 2
+            i, j = i[keep] + a, cols[j[keep]]
+            if right is None:
+                i, j = i[i != j], j[i != j]
+            np.add.at(links, i, others[j])
+            if right is not None:
+                np.add.at(back, j, copies[i])
+            parent = joined(parent, i, j + shift)
+    return links, back, parent
+
+
+def linked(units: DataFrame, least: float, most_pivots: int = MOST_PIVOTS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Stored a, n: the number of rows that each distinct direction is linked to by a cosine of at least ``least``; and src, dst: edges between directions that make the classes of all such links.
+
+    Rows are sorted into blocks by the ball of their nearest pivot and their distance to it, and each two blocks
+    meet once, where links are counted and only a root is kept for each row. So what is written grows as rows x blocks, whatever
+    the number of links."""
+    sample = [r["v"] for r in units.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
+    width = units.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
+    count = units.count()
+    blocks = max(1, -(-count // cell), min(5, -(-count // 512)))
+    pivots = pivots_of(np.array([x + [0.0] * (width - len(x)) for x in sample]).reshape(-1, width), min(most_pivots, max(1, round(count**0.5))))
+    pivots = pivots if len(pivots) else np.zeros((1, width))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
+            x = matrix(b.column("v"), width)
+            away = np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1))
+            ball = away.argmin(axis=1)
+            place = ball * 4.0 + np.sqrt(away[np.arange(len(x)), ball])  # no two vectors of length one are more than 2 apart
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), pa.array(place), pa.array([v.tobytes() for v in x], pa.binary())], names=["rep", "copies", "place", "v"])
+
+    rows = materialized(units.select("rep", "copies", "v").mapInArrow(at_home, "rep long, copies long, place double, v binary"))
+    edges = sorted(set(rows.approxQuantile("place", [i / blocks for i in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
+    blocks = len(edges) + 1
+    own = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col("place")))
+    dealt = rows.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "place", "v")
+    cells = blocks * (blocks + 1) // 2
+
+    def run(held: pa.Table) -> pa.Table:
+        held = held.sort_by([("block", "ascending"), ("place", "ascending")])
+        block, reps, copies = (held.column(c).to_numpy() for c in ("block", "rep", "copies"))
+        v = np.frombuffer(b"".join(held.column("v").to_pylist()), float).reshape(held.num_rows, width)
+        n = int(np.searchsorted(block, held.column("i")[0].as_py(), "right"))
+        within = held.column("i")[0].as_py() == held.column("j")[0].as_py()
+        links, back, roots = block_links((copies[:n], v[:n]), None if within else (copies[n:], v[n:]), least)
+        links = links if within else np.concatenate([links, back])
+        some = np.flatnonzero(links)
+        return pa.table([pa.array(reps[some]), pa.array(links[some]), pa.array(reps[roots[some]])], names=["a", "n", "root"])
+
+    parts = max(units.sparkSession.sparkContext.defaultParallelism, min(2_000, 2 * cells))
+    found = materialized(dealt.repartition(parts, "i", "j").groupBy("i", "j").applyInArrow(run, "a long, n long, root long"))
+    return found.groupBy("a").agg(F.sum("n").alias("n")), found.where("a != root").select(F.col("a").alias("src"), F.col("root").alias("dst"))
+
+
 def similar_pairs(units: DataFrame, least: float, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """Stored a, b (a < b, by rep) and score: all pairs of distinct directions with a cosine of at least ``least``."""
     sample = [r["v"] for r in units.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
@@ -126,10 +230,9 @@ def similarity_classes(vectors: DataFrame, least: float) -> DataFrame:
     """vec_id, links, class_id: for every row the number of other rows with a cosine of at least ``least``, and the smallest id that such links lead to.
 
     Vectors without a direction (null, zero, not finite) have no links and are their own class; null ids are left out."""
-    pairs, units = similarity_join(vectors, least)
-    both = pairs.select("a", "b").unionAll(pairs.select("b", "a"))
-    others = both.join(units.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
-    classes = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    units = unit_vectors(vectors)
+    others, edges = linked(units, least)
+    classes = components(edges)
     named = units.join(others, F.col("rep") == F.col("a"), "left").join(classes, F.col("rep") == F.col("node"), "left")
     named = materialized(named.select("v", "first", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("comp")))
     firsts = named.groupBy("comp").agg(F.min("first").alias("class_id"))

@@ -117,3 +117,38 @@ def test_terms_of_a_text_are_no_rows(spark, sf):
 
     df = plans.queries()["t1_tokens"](spark, sf)
     assert "Generate" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.2, 0.6, 0.95])
+def test_links_of_all_blocks_as_by_brute_force(spark, least):
+    import numpy as np
+
+    from tessera.operators import balls
+
+    rows, vectors = _vectors(spark, 240, 5, same=range(10, 20))
+    x = np.array([v for _, v in sorted(_single(rows).items())])
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    near = (np.round(x @ x.T, 9) >= least - 5e-10) & ~np.eye(len(x), dtype=bool)
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+    others, edges = balls.linked(units := balls.unit_vectors(vectors), least, cell=50)
+    assert edges.count() <= 240 * 6  # not a row a link
+    told = {r["first"]: r["copies"] - 1 + (r["n"] or 0) for r in units.join(others, units.rep == others.a, "left").collect()}
+    assert told == {i: int(near[i].sum()) for i in told}
+    found = {r["vec_id"]: (r["links"], r["class_id"]) for r in balls.similarity_classes(vectors, least).collect()}
+    assert found == {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
+
+
+def test_strips_far_apart_are_skipped():
+    import numpy as np
+
+    from tessera.operators.balls import block_links
+
+    draw = np.random.default_rng(2)
+    x = np.repeat(np.eye(8), 512, axis=0) + draw.normal(0, 0.01, (4_096, 8))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    met = []
+    links, _, roots = block_links((np.ones(4_096, np.int64), x), None, 0.9, met)
+    assert (links == 511).all() and set(roots) == set(range(0, 4_096, 512))
+    assert sum(met) == 8 * 512 * 512

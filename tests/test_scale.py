@@ -152,3 +152,27 @@ def test_strips_far_apart_are_skipped():
     links, _, roots = block_links((np.ones(4_096, np.int64), x), None, 0.9, met)
     assert (links == 511).all() and set(roots) == set(range(0, 4_096, 512))
     assert sum(met) == 8 * 512 * 512
+
+
+@pytest.mark.parametrize("most", [1, 20, 50_000])
+def test_entities_are_found_with_few_known_frequencies(spark, monkeypatch, most):
+    import math
+    from collections import Counter
+
+    from tessera.operators import graph
+
+    monkeypatch.setattr(graph, "MOST_FREQUENT", most)
+    draw = random.Random(9)
+    rows = [(i % 95, " ".join(f"w{min(draw.randint(0, 60), draw.randint(0, 60))}" for _ in range(draw.randint(0, 90)))) for i in range(100)] + [(100, None), (101, "a a")]
+    chunks = {}
+    for i, t in rows:
+        for c in range(max(0, math.ceil((len(t or "") - 500) / 400)) + 1 if t else 0):
+            chunks.setdefault(f"{i}#{c}", Counter()).update(t[c * 400 : c * 400 + 500].split())
+    chunks = {k: v for k, v in chunks.items() if v}
+    df = Counter(w for v in chunks.values() for w in v)
+    told = set()
+    for k, v in chunks.items():
+        best = sorted((-round(tf * math.log(len(chunks) / df[w]), 6), w) for w, tf in v.items())[:3]
+        told |= {(k, w, -x, r + 1) for r, (x, w) in enumerate(best)}
+    found = graph.entities(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["chunk"], r["term"], r["weight"], r["rank"]) for r in found.collect()} == told

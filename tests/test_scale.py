@@ -176,3 +176,20 @@ def test_entities_are_found_with_few_known_frequencies(spark, monkeypatch, most)
         told |= {(k, w, -x, r + 1) for r, (x, w) in enumerate(best)}
     found = graph.entities(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r["chunk"], r["term"], r["weight"], r["rank"]) for r in found.collect()} == told
+
+
+@pytest.mark.parametrize("asked", [3, 4_096])
+def test_lists_are_not_copied_for_each_slice_of_questions(spark, monkeypatch, asked):
+    from tessera.operators import impact, lexical
+
+    monkeypatch.setattr(impact, "ASKED", asked)
+    draw = random.Random(4)
+    text = lambda: " ".join(f"w{draw.randint(0, 30)}" for _ in range(12))
+    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    questions = spark.createDataFrame([(i, text()) for i in range(60)], "question_id long, text string")
+    index = lexical.impact_index(*lexical.weighted(docs), shard=20)  # 15 shards for 4 cores
+    found = impact.topk(questions, index, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "pmod(xxhash64(q" not in plan or ", 1)" in plan  # one part, so lists are shuffled once
+    rows = lambda df: sorted((r["question_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert rows(lexical.best(found, 3)) == rows(lexical.best(lexical.bm25_scores(questions, docs), 3))

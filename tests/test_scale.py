@@ -193,3 +193,10 @@ def test_lists_are_not_copied_for_each_slice_of_questions(spark, monkeypatch, as
     assert "pmod(xxhash64(q" not in plan or ", 1)" in plan  # one part, so lists are shuffled once
     rows = lambda df: sorted((r["question_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
     assert rows(lexical.best(found, 3)) == rows(lexical.best(lexical.bm25_scores(questions, docs), 3))
+
+
+def test_buckets_follow_the_documents(spark):
+    from tessera.plans.retrieval import buckets_of
+
+    assert buckets_of(spark.range(10)) == 16
+    assert buckets_of(spark.range(1_000_000)) == 62

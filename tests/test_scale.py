@@ -200,3 +200,12 @@ def test_buckets_follow_the_documents(spark):
 
     assert buckets_of(spark.range(10)) == 16
     assert buckets_of(spark.range(1_000_000)) == 62
+
+
+def test_names_of_nodes_are_not_copied(spark):
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(12) for j in range(i)], "src string, dst string")
+    found = graph.triangles(edges, 10)
+    dealt = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1].splitlines()[0]
+    assert "cell" in dealt and found.first()["triangles"] == 220

@@ -202,6 +202,32 @@ def test_buckets_follow_the_documents(spark):
     assert buckets_of(spark.range(1_000_000)) == 62
 
 
+@pytest.mark.parametrize("words", [50, 2_000_000])
+def test_postings_of_an_index_are_no_rows(spark, monkeypatch, words):
+    from tessera.operators import impact, lexical
+
+    monkeypatch.setattr(impact, "WORDS_AT_ONCE", words)
+    draw = random.Random(6)
+    text = lambda: " ".join(f"w{min(draw.randint(0, 30), draw.randint(0, 30))}" for _ in range(draw.randint(1, 20)))
+    docs = spark.createDataFrame([(5 * i % 301, text()) for i in range(300)] + [(400, None), (401, ""), (None, "w1 w1")], "doc_id long, text string").repartition(3)
+    questions = spark.createDataFrame([(i, text()) for i in range(30)], "question_id long, text string")
+    index = lexical.index(docs, shard=40)
+    if words > 50:
+        assert index.rows.count() <= 32 * 3 * 4  # terms x slices
+    rows = lambda df: sorted((r["question_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    known = lexical.bm25_scores(questions, docs).where("doc_id is not null")
+    assert rows(lexical.best(impact.topk(questions, index, 4, block=3), 4)) == rows(lexical.best(known, 4))
+
+
+def test_an_id_that_comes_again_adds_up(spark):
+    from tessera.operators import impact, lexical
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "b"), (1, "a c")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b")], "question_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(lexical.best(impact.topk(asked, lexical.index(docs), 4), 4)) == rows(lexical.best(lexical.bm25_scores(asked, docs), 4))
+
+
 def test_names_of_nodes_are_not_copied(spark):
     from tessera.operators import graph
 

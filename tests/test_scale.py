@@ -228,6 +228,23 @@ def test_an_id_that_comes_again_adds_up(spark):
     assert rows(lexical.best(impact.topk(asked, lexical.index(docs), 4), 4)) == rows(lexical.best(lexical.bm25_scores(asked, docs), 4))
 
 
+def test_added_and_merged_lists_are_not_postings(spark, tmp_path):
+    from tessera.operators import live
+
+    docs = spark.createDataFrame([(i, f"a b b c{i % 3}") for i in range(90)], "doc_id long, text string").coalesce(1)
+    for name, part in (("s0", docs.where("doc_id < 40")), ("s1", docs.where("doc_id >= 40"))):
+        live.add(str(tmp_path), part, name)
+    name = live.merge(spark, str(tmp_path))
+    rows = spark.read.schema(live.POSTINGS).parquet(f"{tmp_path}/postings").where(f"segment = '{name}'").collect()
+    assert {r["term"]: r["df"] for r in rows} == {"": 90, "a": 90, "b": 90, "c0": 30, "c1": 30, "c2": 30}
+    (whole,) = [r for r in rows if r["term"] == ""]
+    assert not whole["pos"] and set(whole["dls"]) == {4}
+    for r in rows:  # ids and lengths stand once
+        if r["term"]:
+            assert not r["docs"] and not r["dls"] and len(r["pos"]) == r["df"]
+            assert sorted(whole["docs"][p] for p in r["pos"]) == [i for i in range(90) if r["term"] in f"a b b c{i % 3}".split()]
+
+
 def test_names_of_nodes_are_not_copied(spark):
     from tessera.operators import graph
 

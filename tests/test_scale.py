@@ -252,3 +252,19 @@ def test_names_of_nodes_are_not_copied(spark):
     found = graph.triangles(edges, 10)
     dealt = found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1].splitlines()[0]
     assert "cell" in dealt and found.first()["triangles"] == 220
+
+
+def test_postings_are_not_dealt_by_language(spark):
+    from tessera.plans.retrieval import postings_of_languages
+
+    docs = spark.createDataFrame([(1, "en", 20_000), (2, "fr", 10), (3, None, 20_000)], "doc_id long, lang string, n_chars long")
+    posts = spark.range(1_000).selectExpr("id as doc_id", "concat('w', id % 300) as term", "1L as tf", "if(id % 10 = 0, 'fr', 'en') as lang")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = postings_of_languages(posts, docs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert found.count() == 270 and found.where("lang = 'en'").count() == 270
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -104,6 +104,16 @@ def test_hierarchy_by_brute_force(spark):
     assert reached >= communities.modularity(edges, graph.communities(edges)) - 1e-9
 
 
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_hierarchy_by_numbers_and_where_few_are_left(spark, few):
+    rows = planted(3, groups=5) + [("é", "ß", 1), ("lone", "pair", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+    assert sorted(tuple(r) for r in communities.hierarchy(edges, few=few).collect()) == brute(rows)
+    bits, last = communities._turn(17)
+    for name in ("a", "é", "n01", ""):
+        assert (zlib.crc32(f"{name}#17".encode()) & 1) == ((zlib.crc32(name.encode()) & bits).bit_count() + last) % 2
+
+
 def test_hierarchy_without_gain(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert communities.hierarchy(none).count() == 0 and communities.modularity(none, communities.hierarchy(none)) == 0

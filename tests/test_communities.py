@@ -145,6 +145,18 @@ def test_community_answers_by_hand(spark, entities):
     assert {r["question_id"]: r["communities"] for r in qa.community_answers(asked, entities, labels, reports, most=1).collect()}[2] == 1
 
 
+def test_only_chosen_communities_are_reported(spark, entities):
+    labels = spark.createDataFrame([("sun", "sky"), ("star", "sky"), ("moon", "sky"), ("fish", "fish")], "node string, community string")
+    pieces = spark.createDataFrame([("1#0", "The sun is a star"), ("2#0", "A moon is no star"), ("3#0", "Fish swim")], "chunk string, text string")
+    asked = spark.createDataFrame([(1, "is the SUN hot"), (2, "nothing here")], "question_id long, text string")
+    chosen = qa.chosen_communities(asked, entities, labels)
+    assert [tuple(r) for r in chosen.collect()] == [(1, "sky", 4.0, 1)]
+    reports = qa.community_reports(entities, qa.asked_labels(labels, chosen), pieces)
+    assert {r["community"] for r in reports.collect()} == {"sky"}
+    whole = qa.community_answers(asked, entities, labels, qa.community_reports(entities, labels, pieces))
+    assert sorted(map(str, qa.community_answers(asked, entities, labels, reports, chosen=chosen).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_chunks_of_long_documents_fit(spark):
     docs = spark.createDataFrame([(1, "x " * 3000 + "needle in it " + "y " * 3000), (2, "needle"), (3, None)], "doc_id long, text string")
     hits = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "question_id long, rank int, doc_id long")

@@ -39,3 +39,17 @@ def test_pairs_nearby_and_numbers():
         assert pairs.unpacked_numbers(pairs.packed_numbers(np.array(x, np.int64)), len(x)).tolist() == x
     assert pairs.slice_lists(pa.array([[], []], pa.list_(pa.string())), pairs.pairs_of_row, 2) is None
     assert pairs.slice_lists(pa.array([["a"]]), pairs.pairs_of_row, 2) is None
+
+
+@pytest.mark.parametrize("at_once, cell", [(1 << 24, 1 << 23), (20, 50)])
+def test_neighbours_by_brute_force(spark, monkeypatch, at_once, cell):
+    monkeypatch.setattr(pairs, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(pairs, "CELL", cell)
+    want = Counter()
+    for t in texts(2):
+        words = (t or "").lower().split()
+        want.update(tuple(sorted((a, b), key=str.encode)) for i, a in enumerate(words) for b in words[i + 1 : i + 3] if a != b)
+    found = graph.edges_cooccur(spark.createDataFrame([(t,) for t in texts(2)], "text string"))
+    assert "explode" not in found._jdf.queryExecution().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want

@@ -53,3 +53,27 @@ def test_neighbours_by_brute_force(spark, monkeypatch, at_once, cell):
     assert "explode" not in found._jdf.queryExecution().toString()
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+@pytest.mark.parametrize("tile", [1 << 22, 30])
+def test_pairs_of_parts_by_brute_force(spark, monkeypatch, tile):
+    for name, value in (("TILE", tile), ("PART", 40), ("TERMS_AT_ONCE", 90)):
+        monkeypatch.setattr(pairs, name, value)
+    rows = [*texts(3, 60), *["a b", "b a"] * 5]  # either of two terms comes first in some slice
+    found = graph.edges_chunk_cooccur(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
+    want = Counter(p for t in rows for p in combinations(sorted({w.lower() for w in (t or "").split()}, key=str.encode), 2))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+
+
+def test_chunks_terms_are_shuffled_once_and_no_pairs(spark):
+    found = graph.edges_chunk_cooccur(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("CartesianProduct") == 1 and plan.count("ReusedExchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert "counts" not in plan  # lists of pairs had them
+
+
+def test_no_pairs_at_all(spark):
+    assert graph.edges_chunk_cooccur(spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "doc_id long, text string")).collect() == []
+    assert graph.edges_chunk_cooccur(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of a slice before they are counted and of a cell's lists, about.
-PAIRS_AT_ONCE, CELL = 1 << 24, 1 << 23
+#: Pairs of a slice before they are counted, of a cell's lists, about, and of lists that are added up at once.
+PAIRS_AT_ONCE, CELL, LISTED = 1 << 23, 1 << 22, 1 << 21
 ROWS_OUT = 1 << 16
 LISTS = "cell int, n int, src binary, dst binary, gaps binary, counts binary"
 #: Terms of a slice of rows and of a part, about; a slice has for each part its words, and rows and places of its terms in these.
@@ -93,16 +94,23 @@ def slice_lists(t: pa.ListArray, pairs: Pairs, side: int) -> pa.RecordBatch | No
         return None
     found.sort()
     first = np.flatnonzero(np.diff(found, prepend=-1))
-    counts, (a, b) = np.diff(np.append(first, len(found))), np.divmod(found[first], n)
+    counts = np.diff(np.append(first, len(found))).astype(np.int32)
+    found = found[first]
+    del first
+    a, b = (x.astype(np.int32) for x in np.divmod(found, n))
+    del found
     part = np.array([zlib.crc32(w.encode()) for w in words]) % side
     sizes, place, told = np.bincount(part, minlength=side), np.empty(n, np.int64), []
     for p in range(side):
         own = np.flatnonzero(part == p)
         place[own] = np.arange(len(own))
         told.append(packed("\n".join(words[i] for i in own).encode()))
-    cell = part[a] * side + part[b]
-    order = np.argsort(cell.astype(np.min_scalar_type(side * side)), kind="stable")
-    cell, key, counts = cell[order], (place[a] * sizes[part[b]] + place[b])[order], counts[order]
+    cell = (part.astype(np.int32)[a] * side + part.astype(np.int32)[b]).astype(np.min_scalar_type(side * side))
+    order = np.argsort(cell, kind="stable")
+    a, b, counts, cell = a[order], b[order], counts[order], cell[order].astype(np.int32)
+    del order
+    key = place[a] * sizes[part][b] + place[b]
+    del a, b
     starts = np.flatnonzero(np.diff(cell, prepend=-1))
     rows = []
     for x, z in zip(starts, np.append(starts[1:], len(cell)), strict=True):
@@ -112,23 +120,53 @@ def slice_lists(t: pa.ListArray, pairs: Pairs, side: int) -> pa.RecordBatch | No
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["cell", "n", "src", "dst", "gaps", "counts"])
 
 
-def cell_counts(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """src, dst, weight of a cell from all its lists."""
-    told = {c: [unpacked(r[c]).decode().split("\n") for r in rows] for c in ("src", "dst")}
-    coded = {c: pa.array([w for words in x for w in words], pa.string()).dictionary_encode() for c, x in told.items()}
-    codes = {c: np.split(coded[c].indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in told[c]])[:-1]) for c in told}
-    n, keys = len(coded["dst"].dictionary), []
-    for r, src, dst in zip(rows, codes["src"], codes["dst"], strict=True):
-        a, b = np.divmod(np.cumsum(unpacked_numbers(r["gaps"], r["n"])), len(dst))
-        keys.append(src[a] * n + dst[b])
-    keys, counts = np.concatenate(keys), np.concatenate([unpacked_numbers(r["counts"], r["n"]) for r in rows])
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    sums, (a, b) = np.add.reduceat(counts[order], first), np.divmod(keys[first], n)
-    for at in range(0, len(first), ROWS_OUT):
-        here = slice(at, at + ROWS_OUT)
-        yield pa.RecordBatch.from_arrays([coded["src"].dictionary.take(pa.array(a[here])), coded["dst"].dictionary.take(pa.array(b[here])), pa.array(sums[here])], names=["src", "dst", "weight"])
+class Cell:
+    """A cell's pairs so far, added up: its words in the order they came, and keys and counts of its pairs in order of the keys."""
+
+    def __init__(self) -> None:
+        self.words = {c: pa.array([], pa.string()) for c in ("src", "dst")}
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _codes(self, c: str, told: list[pa.Array]) -> list[np.ndarray]:
+        flat = pa.concat_arrays(told)
+        fresh = flat.filter(pa.compute.invert(pa.compute.is_in(flat, value_set=self.words[c]))).unique()
+        self.words[c] = pa.concat_arrays([self.words[c], fresh])
+        return np.split(pa.compute.index_in(flat, value_set=self.words[c]).to_numpy().astype(np.int64), np.cumsum([len(x) for x in told])[:-1])
+
+    def add(self, rows: list[dict]) -> None:
+        told = {c: [pa.array(unpacked(r[c]).decode().split("\n"), pa.string()) for r in rows] for c in self.words}
+        src, dst = (self._codes(c, told[c]) for c in ("src", "dst"))
+        keys, counts = [self.keys], np.concatenate([self.counts, *(unpacked_numbers(r["counts"], r["n"]) for r in rows)])
+        for r, x, y in zip(rows, src, dst, strict=True):
+            a, b = np.divmod(np.cumsum(unpacked_numbers(r["gaps"], r["n"])), len(y))
+            keys.append(x[a] << 32 | y[b])
+        self.keys = np.concatenate(keys)
+        del keys, a, b
+        order = np.argsort(self.keys)
+        self.keys, counts = self.keys[order], counts[order]
+        del order
+        first = np.flatnonzero(np.diff(self.keys, prepend=-1))
+        self.keys, self.counts = self.keys[first], np.add.reduceat(counts, first)
+
+    def pairs(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.keys), ROWS_OUT):
+            here = self.keys[at : at + ROWS_OUT]
+            yield pa.RecordBatch.from_arrays([self.words["src"].take(pa.array(here >> 32)), self.words["dst"].take(pa.array(here & 0xFFFFFFFF)), pa.array(self.counts[at : at + ROWS_OUT])], names=["src", "dst", "weight"])
+
+
+def cell_counts(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """src, dst, weight of a cell from all its lists, which are added up ``LISTED`` pairs at a time, so that a task holds the cell's distinct pairs and so many more."""
+    cell, held, size = Cell(), [], 0
+    for r in rows:
+        if held and size + r["n"] > LISTED:
+            cell.add(held)
+            held, size = [], 0
+        held.append(r)
+        size += r["n"]
+    if held:
+        cell.add(held)
+    del held
+    yield from cell.pairs()
 
 
 def counted_pairs(found: DataFrame, pairs: Pairs, most: Callable[[np.ndarray], np.ndarray], expected: float) -> DataFrame:
@@ -149,18 +187,12 @@ def counted_pairs(found: DataFrame, pairs: Pairs, most: Callable[[np.ndarray], n
                 at = end
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["cell"] != held[0]["cell"]:
-                    yield from cell_counts(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from cell_counts(held)
+        rows = ({c: batch.column(c)[i].as_py() for c in batch.schema.names} for batch in batches for i in range(batch.num_rows))
+        for _, own in groupby(rows, lambda r: r["cell"]):
+            yield from cell_counts(own)
 
     lists = found.select("t").mapInArrow(cut, LISTS)
-    return lists.repartition(side * side, "cell").sortWithinPartitions("cell").mapInArrow(added, "src string, dst string, weight long")
+    return lists.repartitionById(side * side, "cell").sortWithinPartitions("cell").mapInArrow(added, "src string, dst string, weight long")
 
 
 def slice_parts(t: pa.ListArray, parts: int, name: int) -> pa.RecordBatch:

@@ -77,3 +77,23 @@ def test_chunks_terms_are_shuffled_once_and_no_pairs(spark):
 def test_no_pairs_at_all(spark):
     assert graph.edges_chunk_cooccur(spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "doc_id long, text string")).collect() == []
     assert graph.edges_chunk_cooccur(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_lists_of_a_cell_are_added_up_a_few_at_a_time(monkeypatch):
+    """However many lists there are, a task decodes no more than ``LISTED`` pairs of them at once, or one list."""
+    monkeypatch.setattr(pairs, "LISTED", 40)
+    rows = [r for r in texts(5, 60) if r]
+    lists = [pairs.slice_lists(pa.array([r.split() for r in rows[a : a + 4]]), pairs.pairs_nearby(2), 1).to_pylist()[0] for a in range(0, len(rows) - 3, 4)]
+    met, add = [], pairs.Cell.add
+    monkeypatch.setattr(pairs.Cell, "add", lambda self, some: met.append([r["n"] for r in some]) or add(self, some))
+    got = Counter()
+    for b in pairs.cell_counts(iter(lists)):
+        for r in b.to_pylist():
+            assert (r["src"], r["dst"]) not in got
+            got[r["src"], r["dst"]] = r["weight"]
+    want = Counter()
+    for t in rows[: 4 * len(lists)]:
+        words = t.split()
+        want.update(tuple(sorted((a, b), key=str.encode)) for i, a in enumerate(words) for b in words[i + 1 : i + 3] if a != b)
+    assert got == want
+    assert len(met) > 2 and all(len(x) == 1 or sum(x) <= 40 for x in met)
